@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 ROWS = 1000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where none is set, as in tests, a temporary one is."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphgrid-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from the files.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set,
-    as in tests, is a temporary one used.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphgrid-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Writes df to the shared checkpoint folder and goes on from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
