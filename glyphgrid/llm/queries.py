@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphgrid.llm import mixing, neardup, packing, quality
+from glyphgrid.llm import compression, licenses, mixing, neardup, packing, quality
 from glyphgrid.llm.common import table
 
 
@@ -27,6 +27,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_compression_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain is dialogue: all turns of conversations."""
+    return compression.cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
