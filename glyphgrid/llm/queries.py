@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphgrid.llm import compression, licenses, mixing, neardup, packing, quality
+from glyphgrid.llm import compression, flac, hostrank, licenses, mixing, neardup, packing, quality
 from glyphgrid.llm.common import table
 
 
+def op1_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrank.filter_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's bytes as a FLAC recording, decoded again."""
+    turns = flac.spoken(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    return flac.decode(turns).select("conv_id", "turn", "block", "sample_offset", "n_samples", "crc_ok", F.hex("pcm").alias("pcm"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -41,4 +52,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_host_rank": hostrank.sql(),
+        "op2_flac": """
+            WITH t AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations)
+            SELECT conv_id, turn, b AS block, b * 1024 AS sample_offset, least(1024, length(h) // 2 - b * 1024) AS n_samples,
+                   true AS crc_ok, substr(h, CAST(b * 2048 + 1 AS BIGINT), 2048) AS pcm
+            FROM t, unnest(range((length(h) // 2 + 1023) // 1024)) AS u(b)""",
+    }
