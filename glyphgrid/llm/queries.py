@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrid.llm import compression, flac, hostrank, licenses, mixing, neardup, packing, quality
+from glyphgrid.llm import compression, flac, hostrank, licenses, mixing, neardup, packing, quality, rabitq, tokencount
 from glyphgrid.llm.common import table
 
 
@@ -38,6 +38,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_compression_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain is dialogue: all turns of conversations."""
     return compression.cross_entropy(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
