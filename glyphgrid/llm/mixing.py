@@ -10,6 +10,7 @@ its block indices, a new one for each epoch, and are joined to the blocks.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -24,6 +25,8 @@ from glyphgrid.llm.wordhash import SPACE, mix
 BLOCK_TOKENS, SHARD_SLOTS, TEMPERATURE = 512, 1024, 0.7
 #: A source is cut into streams of about so many tokens that are blocked in parallel.
 STREAM_TOKENS = 2_000_000
+#: With more sources than this their list is joined, not broadcast.
+MAX_BROADCAST_SOURCES = 100_000
 _FINE = 20
 _BLANK = SPACE.copy()
 _BLANK[[0, 11]] = False
@@ -66,29 +69,32 @@ def feistel(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
 
 
 def block_stream(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows sorted by stream: (source, block, n_tokens, pieces).
+    """Blocks of rows sorted by src and stream: (src, stream, number, source, n_tokens, pieces).
 
-    Each row has source, stream, base (the stream's first block), doc_id, lang
-    and text.  A stream's last block may be short.
+    Blocks are numbered from 0 in each stream; its last one may be short.
     """
     rows: list[tuple] = []
     key, number, filled, pieces = None, 0, 0, []
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("text", pa.string())]))]
+
+    def end() -> None:
+        nonlocal number, filled, pieces
+        if pieces:
+            rows.append((key[0], key[1], number, key[2], filled, pieces))
+            number, filled, pieces = number + 1, 0, []
 
     def out() -> pa.RecordBatch:
-        cols = list(zip(*rows))
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("text", pa.string())]))]
-        got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["source", "block", "n_tokens", "pieces"])
+        got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["src", "stream", "number", "source", "n_tokens", "pieces"])
         rows.clear()
         return got
 
     for b in batches:
-        source, stream, base = (b.column(c).to_pylist() for c in ("source", "stream", "base"))
+        keys = list(zip(*(b.column(c).to_pylist() for c in ("src", "stream", "source"))))
         doc, lang, text = b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text")
         for i in range(b.num_rows):
-            if (source[i], stream[i]) != key:
-                if pieces:
-                    rows.append((key[0], number, filled, pieces))
-                key, number, filled, pieces = (source[i], stream[i]), base[i], 0, []
+            if keys[i] != key:
+                end()
+                key, number = keys[i], 0
             raw = text[i].as_py().encode("utf-8", "replace")
             starts, ends = token_spans(raw)
             at = 0
@@ -97,37 +103,41 @@ def block_stream(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
                 pieces.append({"doc_id": doc[i], "lang": lang[i], "n_tokens": take, "text": raw[starts[at] : ends[at + take - 1]].decode("utf-8", "replace")})
                 at, filled = at + take, filled + take
                 if filled == size:
-                    rows.append((key[0], number, filled, pieces))
-                    number, filled, pieces = number + 1, 0, []
+                    end()
             if len(rows) >= 500:
                 yield out()
-    if pieces:
-        rows.append((key[0], number, filled, pieces))
+    end()
     if rows:
         yield out()
 
 
-def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, stream_tokens: int = STREAM_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(blocks, sizes): (source, block, n_tokens, pieces) and (source, n_blocks).
+def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, stream_tokens: int = STREAM_TOKENS) -> tuple[DataFrame, DataFrame, list[str | None]]:
+    """(blocks, streams, sources): (src, stream, number, source, n_tokens, pieces), (src, stream, blocks, base) and the names that src counts.
 
     A source of many tokens is cut by hash of doc_id into streams that are
     blocked in parallel, so a hot source takes no longer than the others; only
     the last block of a stream can be short.  A null source is a source.
     """
+    spark = docs.sparkSession
     fine = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _FINE))
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", "text").where(F.col("text").isNotNull()).withColumn("fine", fine)
     counted = cut(own.select("source", "fine", token_count().alias("n")).groupBy("source", "fine").agg(F.sum("n").alias("n")).where("n > 0"))
-    per = counted.groupBy("source").agg(F.sum("n").alias("n")).select(F.col("source").alias("s"), F.least(F.lit(_FINE), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / stream_tokens)))).cast("int").alias("bits"))
-    stream = F.floor(F.col("fine") / F.pow(F.lit(2.0), F.lit(_FINE) - F.col("bits"))).cast("bigint")
-    streams = counted.join(per, F.col("source").eqNullSafe(F.col("s"))).withColumn("stream", stream).groupBy("source", "stream").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("bigint").alias("blocks"), F.first("bits").alias("bits"))
-    order = Window.partitionBy("source").orderBy("stream")
-    streams = cut(streams.withColumn("base", F.sum("blocks").over(order) - F.col("blocks")))
-    sizes = streams.groupBy("source").agg(F.sum("blocks").alias("n_blocks"))
-    place = streams.select(F.col("source").alias("s2"), F.col("stream").alias("t"), "base")
-    placed = own.join(per, F.col("source").eqNullSafe(F.col("s"))).withColumn("stream", stream).join(place, F.col("source").eqNullSafe(F.col("s2")) & (F.col("stream") == F.col("t")))
-    sorted_ = placed.select("source", "stream", "base", "fine", "doc_id", "lang", "text").repartition("source", "stream").sortWithinPartitions("source", "stream", "fine", "doc_id", "text", "lang")
-    made = sorted_.drop("fine").mapInArrow(lambda batches: block_stream(batches, block_tokens), f"source string, block bigint, n_tokens bigint, pieces {_PIECES}")
-    return made, sizes
+    # one row for each source comes to the driver: its name and count, no data
+    per = sorted(((r["source"], r["n"]) for r in counted.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
+    bits = [min(_FINE, max(0, math.ceil(math.log2(n / stream_tokens)))) for _, n in per]
+    known = spark.createDataFrame([(i, s, b) for i, ((s, _), b) in enumerate(zip(per, bits))], "src int, s string, bits int")
+    known = F.broadcast(known) if len(per) <= MAX_BROADCAST_SOURCES else known
+
+    def placed(df: DataFrame) -> DataFrame:
+        stream = F.floor(F.col("fine") / F.pow(F.lit(2.0), F.lit(_FINE) - F.col("bits"))).cast("bigint")
+        return df.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("stream", stream).drop("s", "bits")
+
+    streams = placed(counted).groupBy("src", "stream").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("bigint").alias("blocks"))
+    streams = cut(streams.withColumn("base", F.sum("blocks").over(Window.partitionBy("src").orderBy("stream")) - F.col("blocks")))
+    columns = ["src", "stream", "source", "doc_id", "lang", "text"]
+    ordered = placed(own).select(*columns, "fine").repartition("src", "stream").sortWithinPartitions("src", "stream", "fine", "doc_id", "text", "lang").select(columns)
+    made = ordered.mapInArrow(lambda batches: block_stream(batches, block_tokens), f"src int, stream bigint, number bigint, source string, n_tokens bigint, pieces {_PIECES}")
+    return made, streams, [s for s, _ in per]
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, total_blocks: int | None = None, seed: int = 17) -> DataFrame:
@@ -144,43 +154,49 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     source is carried along.
     """
     spark = docs.sparkSession
-    made, sizes = blocks(docs, block_tokens)
-    # one row for each source comes to the driver: names and counts, no data
-    have = sorted(((r["source"], r["n_blocks"]) for r in sizes.collect()), key=lambda x: (x[0] is not None, x[0] or ""))
-    share = np.array([float(weights.get(s, 0)) if weights is not None else n**TEMPERATURE for s, n in have])
-    total = sum(n for _, n in have) if total_blocks is None else total_blocks
-    if not have or share.sum() <= 0:
+    made, streams, names = blocks(docs, block_tokens)
+    counts = {r["src"]: r["n"] for r in streams.groupBy("src").agg(F.sum("blocks").alias("n")).collect()}
+    have = np.array([counts[i] for i in range(len(names))], np.int64)
+    share = np.array([float(weights.get(s, 0)) if weights is not None else float(n) ** TEMPERATURE for s, n in zip(names, have)])
+    total = int(have.sum()) if total_blocks is None else total_blocks
+    if not len(have) or share.sum() <= 0:
         total = 0
     share = share / max(share.sum(), 1e-300)
-    n_shards = math.ceil(total / shard_slots)
+    keys = np.array([zlib.crc32(b"\0" if s is None else b"s" + s.encode("utf-8")) for s in names], np.uint64)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(shard: int) -> tuple[np.random.Generator, np.ndarray]:
+        rng = np.random.default_rng([seed, shard])
+        return rng, rng.multinomial(min(shard_slots, total - shard * shard_slots), share)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column("id").to_pylist():
-                rng = np.random.default_rng([seed, shard])
-                counts = rng.multinomial(min(shard_slots, total - shard * shard_slots), share)
-                of = rng.permutation(np.repeat(np.arange(len(share)), counts))
-                rank = np.empty(len(of), np.int64)
-                order = np.argsort(of, kind="stable")
-                rank[order] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shard)), pa.array(np.arange(len(of))), pa.array(of), pa.array(rank)], names=["shard", "slot", "src", "rank"])
+                c = drawn(shard)[1]
+                src = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), shard)), pa.array(src.astype(np.int32)), pa.array(c[src])], names=["shard", "src", "c"])
 
-    slots = spark.range(n_shards).mapInArrow(draw, "shard bigint, slot bigint, src bigint, rank bigint")
-    counts = slots.groupBy("src", "shard").agg(F.count(F.lit(1)).alias("c"))
-    starts = counts.select("src", "shard", (F.sum("c").over(Window.partitionBy("src").orderBy("shard")) - F.col("c")).alias("start"))
-    names = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(have)], "src bigint, source string, n bigint")
-
-    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, at = b.column("n").to_numpy(), b.column("at").to_numpy()
-            epoch = at // n
-            key = mix(mix(b.column("key").to_numpy().view(np.uint64) + np.uint64(seed)) + epoch.astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("slot"), b.column("source"), pa.array(epoch), pa.array(feistel(at % n, n, key))], names=["shard", "slot", "source", "epoch", "block"])
-
-    drawn = slots.join(starts, ["src", "shard"]).join(F.broadcast(names), "src").select("shard", "slot", "source", "n", (F.col("start") + F.col("rank")).alias("at"), F.xxhash64("source").alias("key"))
-    wanted = drawn.mapInArrow(permute, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
-    had = made.withColumnsRenamed({"source": "of", "block": "number"})
-    return wanted.join(had, wanted["source"].eqNullSafe(had["of"]) & (wanted["block"] == had["number"])).select("shard", "slot", "source", "epoch", "block", "n_tokens", "pieces")
+            for shard, starts in zip(b.column("shard").to_pylist(), b.column("starts").to_pylist()):
+                rng, c = drawn(shard)
+                of = rng.permutation(np.repeat(np.arange(len(share)), c))
+                order = np.argsort(of, kind="stable")
+                at = np.empty(len(of), np.int64)
+                start = np.zeros(len(share), np.int64)
+                for x in starts:
+                    start[x["src"]] = x["start"]
+                at[order] = np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start, c)
+                epoch, n = at // have[of], have[of]
+                key = mix(mix(keys[of] + np.uint64(seed)) + epoch.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shard)), pa.array(np.arange(len(of))), pa.array(of.astype(np.int32)), pa.array(epoch), pa.array(feistel(at % n, n, key))], names=["shard", "slot", "src", "epoch", "block"])
+
+    # a source's slots are numbered through all shards
+    per_shard = spark.range(math.ceil(total / shard_slots)).mapInArrow(count, "shard bigint, src int, c bigint")
+    starts = per_shard.select("shard", "src", (F.sum("c").over(Window.partitionBy("src").orderBy("shard")) - F.col("c")).alias("start"))
+    slots = starts.groupBy("shard").agg(F.collect_list(F.struct("src", "start")).alias("starts")).mapInArrow(place, "shard bigint, slot bigint, src int, epoch bigint, block bigint")
+    index = streams.select("src", "stream", "base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("number")).select("src", "stream", "number", (F.col("base") + F.col("number")).alias("block"))
+    wanted = slots.join(index, ["src", "block"])
+    return wanted.join(made, ["src", "stream", "number"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "pieces")
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
