@@ -1,0 +1 @@
+"""A PySpark-native full-text search and document analytics engine."""
