@@ -77,7 +77,8 @@ def rank(hosts: DataFrame, edges: DataFrame, trusted: Sequence[str] = TRUSTED, b
 def filter_pages(pages: DataFrame, trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, max_distrust: float = MAX_DISTRUST, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(page_id, host, trust, distrust, keep) for every row of pages.
 
-    A page stays when its host has less than max_distrust and at least min_trust.
+    A page stays when its host has less than max_distrust, or more trust than
+    distrust, and at least min_trust.
     A null or relative url has no host: scores of 0, and with the default
     min_trust it stays.  Null html has no links.  Repeated rows are judged
     repeatedly, and their links count again; other columns are ignored.
@@ -85,7 +86,7 @@ def filter_pages(pages: DataFrame, trusted: Sequence[str] = TRUSTED, blocked: Se
     placed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host(F.col("url")).alias("host"))
     ranked = rank(placed.select("host").distinct(), cut(host_edges(pages)), trusted, blocked, rounds, damping)
     scored = placed.join(ranked, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    return scored.select("page_id", "host", "trust", "distrust", ((F.col("distrust") < max_distrust) & (F.col("trust") >= min_trust)).alias("keep"))
+    return scored.select("page_id", "host", "trust", "distrust", (((F.col("distrust") < max_distrust) | (F.col("trust") > F.col("distrust"))) & (F.col("trust") >= min_trust)).alias("keep"))
 
 
 def sql(trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, max_distrust: float = MAX_DISTRUST, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
@@ -108,4 +109,4 @@ def sql(trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, max_
         ctes.append(f"s{k} AS MATERIALIZED (SELECT t.side, t.dst AS host, sum(r.r * t.share) AS got FROM r{k} r JOIN step t ON t.side = r.side AND t.src = r.host GROUP BY t.side, t.dst)")
         ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT n.host, n.side, {1 - damping} * n.v + {damping} * (coalesce(s.got, 0) + n.v * (1 - coalesce(b.got, 0))) AS r FROM nodes n LEFT JOIN s{k} s ON s.side = n.side AND s.host = n.host LEFT JOIN (SELECT side, sum(got) AS got FROM s{k} GROUP BY side) b ON b.side = n.side)")
     ctes.append(f"ranked AS (SELECT r.host, round(max(CASE WHEN r.side = 0 THEN r.r * n.per / {1 - damping} END), 9) AS trust, round(max(CASE WHEN r.side = 1 THEN r.r * n.per / {1 - damping} END), 9) AS distrust FROM r{rounds} r JOIN nodes n ON n.host = r.host AND n.side = r.side GROUP BY r.host)")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, p.host AS host, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust, coalesce(distrust, 0.0) < {max_distrust} AND coalesce(trust, 0.0) >= {min_trust} AS keep FROM placed p LEFT JOIN ranked r ON r.host = p.host"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, p.host AS host, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust, (coalesce(distrust, 0.0) < {max_distrust} OR coalesce(trust > distrust, false)) AND coalesce(trust, 0.0) >= {min_trust} AS keep FROM placed p LEFT JOIN ranked r ON r.host = p.host"

@@ -226,5 +226,5 @@ def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     again = twice.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", name)
     shown = docs.join(again, key == again[name], "left_semi")
     rank = "_glyphgrid_rank"
-    first = shown.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]))).where(F.col(rank) == 1).drop(rank)
+    first = shown.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]))).where(F.col(rank) == 1).drop(rank)
     return once.unionByName(first)
