@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.llm.common import per_slice
+from glyphgrid.llm.common import cut, per_slice
 
 DICTIONARY_BYTES, LEVEL = 1 << 17, 3
 
@@ -26,22 +26,32 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(texts: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """The words of greatest count times length (ties: the lesser word), within size bytes.
+    """The words of greatest count times length (ties: the lesser word), as many as fit in size bytes.
 
-    Counts are over all rows.  Only as many words as can fit come to the driver,
-    a word taking 2 bytes at least.  Words that don't fit are passed over; without words it is empty.
+    Counts are over all rows.  Words come to the driver only down to the saving at
+    which size bytes are reached: a histogram of savings tells it, so what comes
+    doesn't grow with the corpus.  Without words the dictionary is empty.
     """
-    saving = F.col("n") * (F.octet_length("word") + 1)
-    fitting = word_counts(texts).where(F.octet_length("word") < size)
-    top = fitting.select("word", saving.alias("saving")).orderBy(F.desc("saving"), "word").limit(size // 2)
+    width = F.octet_length("word") + 1
+    saving = F.col("n") * width
+    counted = cut(word_counts(texts).where(width <= size))
+    step = F.floor(F.log2(saving) * 64).cast("int")
+    room, least = size, None
+    # a row for each step of about 1 % in saving, some thousands at most
+    for row in counted.groupBy(step.alias("step")).agg(F.sum(width).alias("bytes")).orderBy(F.desc("step")).collect():
+        least, room = row["step"], room - row["bytes"]
+        if room <= 0:
+            break
+    if least is None:
+        return b""
+    top = counted.where(step >= least).select("word", saving.alias("saving")).orderBy(F.desc("saving"), "word").limit(size // 2)
     chosen, room = [], size
     for row in top.collect():
         w = row["word"].encode("utf-8") + b" "
-        if len(w) <= room:
-            chosen.append(w)
-            room -= len(w)
-        if room < 2:
+        if len(w) > room:
             break
+        chosen.append(w)
+        room -= len(w)
     return b"".join(reversed(chosen))
 
 

@@ -10,7 +10,9 @@ def brute_dictionary(texts, size):
     out, room = [], size
     for w in sorted(counts, key=lambda w: (-counts[w] * (len(w.encode()) + 1), w.encode())):
         b = w.encode() + b" "
-        if len(w.encode()) < size and len(b) <= room:
+        if len(b) <= size:
+            if len(b) > room:
+                break
             out.append(b)
             room -= len(b)
     return b"".join(reversed(out))
