@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphgrid.llm.common import cut, per_slice
+from glyphgrid.llm.common import cut, parts, per_slice
 from glyphgrid.llm.neardup import _runs
 
 K, BITS, EPSILON, BLOCK_ROWS, SEED = 10, 256, 1.9, 4096, 11
@@ -165,22 +165,25 @@ def neighbours(vectors: DataFrame, k: int = K, bits: int = BITS, block_rows: int
     brief = blocks.select("block", "mid", "radius", "least", F.sqrt(dot(F.col("mid"), F.col("mid"))).alias("norm"))
     q, t = brief.alias("q"), brief.alias("t")
     bound = dot(F.col("q.mid"), F.col("t.mid")) + F.col("q.radius") * F.col("t.norm") + F.col("t.radius") * F.col("q.norm") + F.col("q.radius") * F.col("t.radius")
-    pairs = q.crossJoin(t).where((F.col("q.block") != F.col("t.block")) & (bound + 1e-5 >= F.col("q.least"))).select(F.col("q.block").alias("qb"), F.col("t.block").alias("tb"))
+    met_by = (F.col("q.block") < F.col("t.block")) & (bound + 1e-5 >= F.least("q.least", "t.least"))
+    pairs = q.crossJoin(t).where(met_by).select(F.col("q.block").alias("qb"), F.col("t.block").alias("tb"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                get = lambda c, kind: np.frombuffer(b.column(c)[i].as_py(), kind)  # noqa: E731, B023
-                q_ids, ids = get("q_ids", np.int64), get("ids", np.int64)
-                qx, x = get("q_x", np.float32).reshape(-1, dims), get("x", np.float32).reshape(-1, dims)
-                for r, c, ip in search(q_ids, qx, ids, x, Codes(x, turn), turn, k, get("q_floor", np.float64)):
-                    if len(r):
-                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[c]), pa.array(ip)], names=["vec_id", "neighbour", "inner_product"])
-
-    queries = blocks.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.col("floor").alias("q_floor"))
-    data = blocks.select(F.col("block").alias("tb"), "ids", "x")
-    met = pairs.repartition("qb", "tb").join(queries, "qb").join(data, "tb").select("q_ids", "q_x", "q_floor", "ids", "x")
-    other = met.mapInArrow(visit, "vec_id bigint, neighbour bigint, inner_product double")
+                two = []
+                for side in ("q", "t"):
+                    ids, x, floor = (b.column(f"{side}_{c}")[i].as_py() for c in ("ids", "x", "floor"))
+                    two.append((np.frombuffer(ids, np.int64), np.frombuffer(x, np.float32).reshape(-1, dims), np.frombuffer(floor, np.float64)))
+                for (q_ids, qx, floor), (ids, x, _) in (two, two[::-1]):
+                    for r, c, ip in search(q_ids, qx, ids, x, Codes(x, turn), turn, k, floor):
+                        if len(r):
+                            yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[c]), pa.array(ip)], names=["vec_id", "neighbour", "inner_product"])
+
+    side = lambda s: blocks.select(F.col("block").alias(f"{s}b"), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "x", "floor")])
+    met = pairs.join(side("q"), "qb").join(side("t"), "tb").drop("qb", "tb")
+    # a pair is much work and few bytes, so pairs are spread by number and not coalesced by size
+    other = met.repartition(max(parts(spark), -(-count // block_rows))).mapInArrow(visit, "vec_id bigint, neighbour bigint, inner_product double")
     home = blocks.select(F.explode(F.arrays_zip("a", "b", "ip")).alias("z")).select(F.col("z.a").alias("vec_id"), F.col("z.b").alias("neighbour"), F.col("z.ip").alias("inner_product"))
     order = Window.partitionBy("vec_id").orderBy(F.desc("inner_product"), "neighbour")
     ranked = home.unionByName(other).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
