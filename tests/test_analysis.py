@@ -13,7 +13,7 @@ from glyphgrid.functions.similarity import Bm25, TfIdf, length_code
 FRONT, BACK, ANY = Grams(2, 3, "front"), Grams(2, 3, "back"), Grams(2, 3)
 STD = Tokenizer()
 CASES = [
-    (Analyzer(STD), "Up from the bowels of hell he sails, weilding a tankard of freshly brewed ale!", [(w, i + 1) for i, w in enumerate("Up from the bowels of hell he sails weilding a tankard of freshly brewed ale".split())]),
+    (Analyzer(STD), "Down the river, past two Mills; home!", [(w, i + 1) for i, w in enumerate("Down the river past two Mills home".split())]),
     (Analyzer(STD), "こんにちは、ハチ公！", [(w, i + 1) for i, w in enumerate(["こ", "ん", "に", "ち", "は", "ハチ", "公"])]),
     (Analyzer(STD), "can't 3.14 a_b _ x:y 1,000;2 l’eau ..", [(w, i + 1) for i, w in enumerate(["can't", "3.14", "a_b", "x:y", "1,000;2", "l’eau"])]),
     (Analyzer(Tokenizer("standard", ANY)), "hello", [(g, 1) for g in "he hel el ell ll llo lo".split()]),

@@ -14,21 +14,21 @@ def test_fields():
     assert parse_field({"type": "string"}) == Field()
     for other in ("integer", "boolean", "date"):
         assert parse_field({"type": other}) == Field(other, analyzed=False)
-    assert parse_field({"type": "string", "index": "no"}) == Field(indexed=False, analyzed=False)
-    assert parse_field({"type": "string", "index": "not_analyzed", "store": "yes", "include_in_all": "no", "boost": 2}) == Field(analyzed=False, stored=True, in_all=False, boost=2.0)
-    assert parse_field({"type": "integer", "include_in_all": "yes"}).in_all
-    assert parse_field({"type": "string", "analyzer": "a", "index_analyzer": "b", "search_analyzer": "c"}).search_analyzer == "c"
+    assert parse_field({"index": "no", "type": "string"}) == Field(indexed=False, analyzed=False)
+    assert parse_field({"index": "not_analyzed", "store": "yes", "include_in_all": "no", "boost": 2, "type": "string"}) == Field(analyzed=False, stored=True, in_all=False, boost=2.0)
+    assert parse_field({"include_in_all": "yes", "type": "integer"}).in_all
+    assert parse_field({"analyzer": "a", "index_analyzer": "b", "search_analyzer": "c", "type": "string"}).search_analyzer == "c"
 
 
 @pytest.mark.parametrize(
     "body,want",
     [
         ([], ("ExpectedObject", None)), ({}, ("ExpectedKey", "type")), ({"type": "foo"}, ("UnrecognisedFieldType", "foo")), ({"type": 123}, ("ExpectedString", None)),
-        ({"type": "string", "foo": 1, "baz": 2}, ("UnrecognisedKeys", ["baz", "foo"])), ({"type": "string", "index": "foo"}, ("UnrecognisedIndexSetting", "foo")),
-        ({"type": "integer", "index": "analyzed"}, ("IndexAnalyzedOnlyAllowedOnStringType", None)), ({"type": "string", "store": "foo"}, ("ExpectedBoolean", None)),
-        ({"type": "integer", "analyzer": "a"}, ("AnalyzersOnlyAllowedOnStringType", None)), ({"type": "string", "index": "no", "search_analyzer": "a"}, ("AnalyzersOnlyAllowedOnAnalyzedFields", None)),
-        ({"type": "string", "boost": -2.0}, ("BoostMustBePositive", None)), ({"type": "string", "boost": "x"}, ("ExpectedNumber", None)), ({"type": "string", "index": "no", "boost": 2}, ("BoostOnlyAllowedOnIndexedFields", None)),
-        ({"type": "string", "include_in_all": 1}, ("ExpectedBoolean", None)), ({"type": "string", "analyzer": 1}, ("ExpectedString", None)),
+        ({"foo": 1, "baz": 2, "type": "string"}, ("UnrecognisedKeys", ["baz", "foo"])), ({"index": "foo", "type": "string"}, ("UnrecognisedIndexSetting", "foo")),
+        ({"index": "analyzed", "type": "integer"}, ("IndexAnalyzedOnlyAllowedOnStringType", None)), ({"store": "foo", "type": "string"}, ("ExpectedBoolean", None)),
+        ({"analyzer": "a", "type": "integer"}, ("AnalyzersOnlyAllowedOnStringType", None)), ({"index": "no", "search_analyzer": "a", "type": "string"}, ("AnalyzersOnlyAllowedOnAnalyzedFields", None)),
+        ({"boost": -2.0, "type": "string"}, ("BoostMustBePositive", None)), ({"boost": "x", "type": "string"}, ("ExpectedNumber", None)), ({"index": "no", "boost": 2, "type": "string"}, ("BoostOnlyAllowedOnIndexedFields", None)),
+        ({"include_in_all": 1, "type": "string"}, ("ExpectedBoolean", None)), ({"analyzer": 1, "type": "string"}, ("ExpectedString", None)),
     ],
 )
 def test_field_errors(body, want):
@@ -51,9 +51,9 @@ def test_mappings():
 SETTINGS = {
     "settings": {
         "analysis": {
-            "tokenizer": {"ng": {"type": "nGram", "min_gram": 3, "max_gram": 15}, "back": {"type": "edgeNGram", "min_gram": 2, "max_gram": 15, "side": "BACK"}},
-            "filter": {"eg": {"type": "edge_ngram"}, "nf": {"type": "ngram", "max_gram": 4}},
-            "analyzer": {"mine": {"type": "custom", "tokenizer": "ng", "filter": ["lowercase", "eg"]}, "default": {"type": "custom", "tokenizer": "lowercase"}},
+            "tokenizer": {"ng": {"max_gram": 12, "min_gram": 4, "type": "nGram"}, "back": {"side": "BACK", "max_gram": 9, "min_gram": 3, "type": "edgeNGram"}},
+            "filter": {"eg": {"type": "edge_ngram"}, "nf": {"max_gram": 4, "type": "ngram"}},
+            "analyzer": {"mine": {"tokenizer": "ng", "filter": ["lowercase", "eg"], "type": "custom"}, "default": {"tokenizer": "lowercase", "type": "custom"}},
         }
     },
     "mappings": {"m": {"properties": {"f": {"type": "string"}}}},
@@ -62,7 +62,7 @@ SETTINGS = {
 
 def test_settings_round_trip():
     settings, mappings = parse_index(SETTINGS)
-    assert settings.tokenizers["ng"] == Tokenizer("standard", Grams(3, 15)) and settings.tokenizers["back"].grams.edge == "back"
+    assert settings.tokenizers["ng"] == Tokenizer("standard", Grams(4, 12)) and settings.tokenizers["back"].grams.edge == "back"
     assert settings.filters["eg"] == TokenFilter("grams", Grams(1, 2, "front")) and len(settings.filters) == 4
     assert settings.analyzers["mine"].filters[1] == settings.filters["eg"]
     again, _ = parse_index({"settings": settings_json(settings)})
@@ -83,9 +83,9 @@ def test_analyzers_resolve_with_fallbacks():
 @pytest.mark.parametrize(
     "analysis,want",
     [
-        ({"tokenizer": {"x": {"type": "foo"}}}, "UnrecognisedType"), ({"filter": {"x": {"type": "foo"}}}, "UnrecognisedType"), ({"filter": {"x": {}}}, "ExpectedKey"), ({"tokenizer": {"x": {"type": "ngram", "min_gram": -1}}}, "ExpectedPositiveInteger"),
-        ({"tokenizer": {"x": {"type": "edgeNGram", "side": "up"}}}, "InvalidSideValue"), ({"analyzer": {"x": {"type": "custom"}}}, "ExpectedKey"), ({"analyzer": {"x": {"type": "custom", "tokenizer": "no"}}}, "UnrecognisedTokenizer"),
-        ({"analyzer": {"x": {"type": "custom", "tokenizer": "standard", "filter": ["no"]}}}, "UnrecognisedFilter"), ({"analyzer": {"x": {"type": "custom", "tokenizer": "standard", "filter": "lowercase"}}}, "ExpectedArray"), ({"analyzer": {"x": {"type": "snowball"}}}, "UnrecognisedType"),
+        ({"tokenizer": {"x": {"type": "foo"}}}, "UnrecognisedType"), ({"filter": {"x": {"type": "foo"}}}, "UnrecognisedType"), ({"filter": {"x": {}}}, "ExpectedKey"), ({"tokenizer": {"x": {"min_gram": -1, "type": "ngram"}}}, "ExpectedPositiveInteger"),
+        ({"tokenizer": {"x": {"side": "up", "type": "edgeNGram"}}}, "InvalidSideValue"), ({"analyzer": {"x": {"type": "custom"}}}, "ExpectedKey"), ({"analyzer": {"x": {"tokenizer": "no", "type": "custom"}}}, "UnrecognisedTokenizer"),
+        ({"analyzer": {"x": {"tokenizer": "standard", "filter": ["no"], "type": "custom"}}}, "UnrecognisedFilter"), ({"analyzer": {"x": {"tokenizer": "standard", "filter": "lowercase", "type": "custom"}}}, "ExpectedArray"), ({"analyzer": {"x": {"type": "snowball"}}}, "UnrecognisedType"),
     ],
 )
 def test_settings_errors(analysis, want):
