@@ -13,7 +13,7 @@ Apache-2.0|3|apache|\bapache[- ]2(?:\.0)? licen[sc]ed?\b
 Apache-2.0|3|spdx license identifier|spdx-license-identifier: apache-2\.0\b
 Apache-2.0|3|apache|https?://(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?
 Apache-2.0|2|compliance|you may not use this file except in compliance with the license\b
-Apache-2.0|2|as is|distributed on an "as is" basis, without warranties or conditions of any kind
+Apache-2.0|2|as is|distributed on an "as is" basis, without (?:any )?warranties or conditions
 Apache-1.1|3|apache|(?:the )?apache software license,? (?:version|v\.?) ?1\.1\b
 Apache-1.1|3|spdx license identifier|spdx-license-identifier: apache-1\.1\b
 Apache-1.0|3|apache|(?:the )?apache (?:software )?license,? (?:version|v\.?) ?1\.0\b
