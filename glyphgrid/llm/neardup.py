@@ -23,6 +23,8 @@ from glyphgrid.llm.common import cut, per_slice
 from glyphgrid.llm.wordhash import mix, ngrams, word_hashes
 
 K, RADIUS, CHUNKS, ERRORS, SHINGLE = 64, 26, 14, 1, 3
+#: So many ids of documents to drop, 16 bytes each in memory, are broadcast at most; more meet the texts in a shuffle.
+BROADCAST_IDS = 1_000_000
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BLANK = np.uint64(0xD6E8FEB86659FD93)
 
@@ -221,10 +223,14 @@ def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     key = F.col("doc_id").cast("bigint")
     name = "_glyphgrid_doc_id"
     gone, twice = cut(gone.distinct()), cut(twice)
-    out = gone.unionByName(twice).distinct().withColumnRenamed("doc_id", name)
-    once = docs.join(out, key == out[name], "left_anti")
+    repeated = not twice.isEmpty()
+    out = (gone.unionByName(twice).distinct() if repeated else gone).withColumnRenamed("doc_id", name)
+    small = out.count() <= BROADCAST_IDS
+    once = docs.join(F.broadcast(out) if small else out, key == out[name], "left_anti")
+    if not repeated:
+        return once
     again = twice.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", name)
-    shown = docs.join(again, key == again[name], "left_semi")
+    shown = docs.join(F.broadcast(again) if small else again, key == again[name], "left_semi")
     rank = "_glyphgrid_rank"
     first = shown.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]))).where(F.col(rank) == 1).drop(rank)
     return once.unionByName(first)
