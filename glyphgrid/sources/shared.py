@@ -27,7 +27,9 @@ def keep(index: Index, folder: str) -> Index:
     spark = index.docs.sparkSession
     index.docs.write.parquet(f"{folder}/docs")
     index.lengths.write.parquet(f"{folder}/lengths")
-    index.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key").write.parquet(f"{folder}/postings")
+    # range partitioning reads its input twice, so the analysis is written before it
+    index.postings.write.parquet(f"{folder}/found")
+    spark.read.parquet(f"{folder}/found").repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key").write.parquet(f"{folder}/postings")
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     out = Index(read("docs"), read("lengths"), read("postings"), index.mapping, index.settings)
     out.field_stats.write.parquet(f"{folder}/field_stats")
