@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 from glyphgrid.llm.common import cut
 
 DAMPING, ROUNDS, MAX_DISTRUST, MIN_TRUST = 0.85, 20, 0.05, 0.0
-TRUSTED = ("tionsh.example.net", "tionble.example.com", "ththnd.example.net")
-BLOCKED = ("ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
+TLDS = ("com", "net", "org")
+
+
+def everywhere(names: Sequence[str], tlds: Sequence[str] = TLDS) -> tuple[str, ...]:
+    """Each name under each of the TLDs in use, as a name is met under any of them."""
+    return tuple(f"{n}.example.{t}" for n in names for t in tlds)
+
+
+TRUSTED = everywhere(("tionsh", "tionble", "ththnd"))
+BLOCKED = everywhere(("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"))
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 LINK = r"(?i)<a(?:rea)?\s[^>]*?href\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"
 

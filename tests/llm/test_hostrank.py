@@ -77,3 +77,12 @@ def test_edges(pages):
     assert all(r["trust"] == 0 and r["distrust"] == 0 and r["keep"] for r in rows)
     strict = hostrank.filter_pages(pages, *SEEDS, min_trust=0.1).collect()
     assert {r["host"] for r in strict if r["keep"]} == {h for h, (t, d) in brute().items() if t >= 0.1 and (d < 0.05 or t > d)} & set(HOSTS)
+
+
+def test_seeds_hold_under_every_tld(spark):
+    bad = ["m.casino-win.example.com", "free-bets.example.com", "www.spam-farm.example.com", "www.cheap-pills.example.com", "blog.adult-x.example.net", "ads-track.example.org"]
+    good = ["blog.tionsh.example.com", "tionble.example.org", "m.ththnd.example.net", "ththat.example.com", "notspam-farm.example.com"]
+    rows = [(i, f"https://{h}/en/{i}", "<a href='/own'>") for i, h in enumerate(bad + good)]
+    got = {r["host"]: r for r in hostrank.filter_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [h for h in got if not got[h]["keep"]] == [h for h in got if h in bad] and len(got) == len(rows)
+    assert all(got[h]["distrust"] >= 1 for h in bad) and all(got[h]["trust"] >= 1 for h in good[:3])
