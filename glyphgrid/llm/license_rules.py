@@ -56,44 +56,58 @@ BSD|1|bsd|\bbsd[- ]style licen[sc]e\b
 ISC|3|spdx license identifier|spdx-license-identifier: isc\b
 ISC|2|isc licen|\bisc licen[sc]ed?\b
 ISC|2|permission to use|permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
-GPL-3.0|3|gnu general public|(?:licensed under )?(?:the )?(?:terms of the )?gnu general public license,? (?:version|v\.?) ?3(?:\.0)?\b(?! or)
+GPL-3.0|3|gnu general public|(?:licensed under )?(?:the )?(?:terms of the )?gnu general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?3(?:\.0)?\b(?!(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later)
 GPL-3.0|3|gpl|\b(?:gnu )?gpl[- ]?(?:v|version )?3(?:\.0)?\b(?!\+|-or-later| or later)
 GPL-3.0|3|spdx license identifier|spdx-license-identifier: gpl-3\.0(?:-only)?\b(?!-)
 GPL-3.0|3|gnu.org|https?://(?:www\.)?gnu\.org/licenses/gpl-3\.0(?:\.txt|\.html|\.en\.html)?
-GPL-3.0-or-later|3|gnu general public|(?:the )?gnu general public license,? (?:either )?(?:version|v\.?) ?3(?:\.0)?(?: of the license)?,? or \(?at your option\)? any later version
+GPL-3.0-or-later|3|gnu general public|(?:the )?gnu general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?3(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
 GPL-3.0-or-later|3|gpl|\bgpl[- ]?v?3(?:\.0)?(?:\+|-or-later| or later)
 GPL-3.0-or-later|3|spdx license identifier|spdx-license-identifier: gpl-3\.0(?:-or-later|\+)
-GPL-2.0|3|gnu general public|(?:licensed under )?(?:the )?(?:terms of the )?gnu general public license,? (?:version|v\.?) ?2(?:\.0)?\b(?! or)
+GPL-2.0|3|gnu general public|(?:licensed under )?(?:the )?(?:terms of the )?gnu general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?2(?:\.0)?\b(?!(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later)
 GPL-2.0|3|gpl|\b(?:gnu )?gpl[- ]?(?:v|version )?2(?:\.0)?\b(?!\+|-or-later| or later)
 GPL-2.0|3|spdx license identifier|spdx-license-identifier: gpl-2\.0(?:-only)?\b(?!-)
 GPL-2.0|3|gnu.org|https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0(?:\.txt|\.html|\.en\.html)?
-GPL-2.0-or-later|3|gnu general public|(?:the )?gnu general public license,? (?:either )?(?:version|v\.?) ?2(?:\.0)?(?: of the license)?,? or \(?at your option\)? any later version
+GPL-2.0-or-later|3|gnu general public|(?:the )?gnu general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?2(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
 GPL-2.0-or-later|3|gpl|\bgpl[- ]?v?2(?:\.0)?(?:\+|-or-later| or later)
 GPL-2.0-or-later|3|spdx license identifier|spdx-license-identifier: gpl-2\.0(?:-or-later|\+)
-GPL-1.0|3|gnu general public|(?:the )?gnu general public license,? (?:version|v\.?) ?1(?:\.0)?\b
-GPL-1.0|3|spdx license identifier|spdx-license-identifier: gpl-1\.0(?:-only|-or-later|\+)?\b
+GPL-1.0|3|gnu general public|(?:the )?gnu general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?1(?:\.0)?\b
+GPL-1.0-or-later|3|gnu general public|(?:the )?gnu general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?1(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
+GPL-1.0|3|spdx license identifier|spdx-license-identifier: gpl-1\.0(?:-only)?\b(?!-or-later|\+)
+GPL-1.0-or-later|3|spdx license identifier|spdx-license-identifier: gpl-1\.0(?:-or-later|\+)
 GPL|2|gnu general public|\b(?:licensed under )?(?:the )?gnu general public licen[sc]e\b
 GPL|1|gpl|\b(?:gnu )?gpl(?: licen[sc]ed?)?\b
 GPL|2|free software|this program is free software[:;] you can redistribute it and/or modify it
 GPL|1|merchantability|without even the implied warranty of merchantability or fitness for a particular purpose
-LGPL-3.0|3|lesser general public|(?:the )?gnu lesser general public license,? (?:version|v\.?) ?3(?:\.0)?\b
-LGPL-3.0|3|lgpl|\blgpl[- ]?v?3(?:\.0)?(?:\+|-or-later)?
-LGPL-3.0|3|spdx license identifier|spdx-license-identifier: lgpl-3\.0(?:-only|-or-later|\+)?\b
+LGPL-3.0|3|lesser general public|(?:the )?gnu lesser general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?3(?:\.0)?\b
+LGPL-3.0-or-later|3|lesser general public|(?:the )?gnu lesser general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?3(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
+LGPL-3.0|3|lgpl|\blgpl[- ]?v?3(?:\.0)?(?!\+|-or-later| or later)
+LGPL-3.0-or-later|3|lgpl|\blgpl[- ]?v?3(?:\.0)?(?:\+|-or-later| or later)
+LGPL-3.0|3|spdx license identifier|spdx-license-identifier: lgpl-3\.0(?:-only)?\b(?!-or-later|\+)
+LGPL-3.0-or-later|3|spdx license identifier|spdx-license-identifier: lgpl-3\.0(?:-or-later|\+)
 LGPL-3.0|3|gnu.org|https?://(?:www\.)?gnu\.org/licenses/lgpl-3\.0(?:\.txt|\.html)?
-LGPL-2.1|3|lesser general public|(?:the )?gnu lesser general public license,? (?:version|v\.?) ?2\.1\b
-LGPL-2.1|3|lgpl|\blgpl[- ]?v?2\.1(?:\+|-or-later)?
-LGPL-2.1|3|spdx license identifier|spdx-license-identifier: lgpl-2\.1(?:-only|-or-later|\+)?\b
+LGPL-2.1|3|lesser general public|(?:the )?gnu lesser general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?2\.1\b
+LGPL-2.1-or-later|3|lesser general public|(?:the )?gnu lesser general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?2\.1(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
+LGPL-2.1|3|lgpl|\blgpl[- ]?v?2\.1(?!\+|-or-later| or later)
+LGPL-2.1-or-later|3|lgpl|\blgpl[- ]?v?2\.1(?:\+|-or-later| or later)
+LGPL-2.1|3|spdx license identifier|spdx-license-identifier: lgpl-2\.1(?:-only)?\b(?!-or-later|\+)
+LGPL-2.1-or-later|3|spdx license identifier|spdx-license-identifier: lgpl-2\.1(?:-or-later|\+)
 LGPL-2.1|3|gnu.org|https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1(?:\.txt|\.html)?
-LGPL-2.0|3|library general public|(?:the )?gnu library general public license,? (?:version|v\.?) ?2(?:\.0)?\b
-LGPL-2.0|3|spdx license identifier|spdx-license-identifier: lgpl-2\.0(?:-only|-or-later|\+)?\b
+LGPL-2.0|3|library general public|(?:the )?gnu library general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?2(?:\.0)?\b
+LGPL-2.0-or-later|3|library general public|(?:the )?gnu library general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?2(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
+LGPL-2.0|3|spdx license identifier|spdx-license-identifier: lgpl-2\.0(?:-only)?\b(?!-or-later|\+)
+LGPL-2.0-or-later|3|spdx license identifier|spdx-license-identifier: lgpl-2\.0(?:-or-later|\+)
 LGPL|2|lesser general public|\b(?:the )?gnu lesser general public licen[sc]e\b
 LGPL|2|library general public|\b(?:the )?gnu library general public licen[sc]e\b
 LGPL|1|lgpl|\blgpl(?: licen[sc]ed?)?\b
-AGPL-3.0|3|affero general public|(?:the )?gnu affero general public license,? (?:version|v\.?) ?3(?:\.0)?\b
-AGPL-3.0|3|agpl|\bagpl[- ]?v?3(?:\.0)?(?:\+|-or-later)?
-AGPL-3.0|3|spdx license identifier|spdx-license-identifier: agpl-3\.0(?:-only|-or-later|\+)?\b
+AGPL-3.0|3|affero general public|(?:the )?gnu affero general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?3(?:\.0)?\b
+AGPL-3.0-or-later|3|affero general public|(?:the )?gnu affero general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?3(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
+AGPL-3.0|3|agpl|\bagpl[- ]?v?3(?:\.0)?(?!\+|-or-later| or later)
+AGPL-3.0-or-later|3|agpl|\bagpl[- ]?v?3(?:\.0)?(?:\+|-or-later| or later)
+AGPL-3.0|3|spdx license identifier|spdx-license-identifier: agpl-3\.0(?:-only)?\b(?!-or-later|\+)
+AGPL-3.0-or-later|3|spdx license identifier|spdx-license-identifier: agpl-3\.0(?:-or-later|\+)
 AGPL-3.0|3|gnu.org|https?://(?:www\.)?gnu\.org/licenses/agpl-3\.0(?:\.txt|\.html)?
-AGPL-1.0|3|affero general public|\baffero general public license,? (?:version|v\.?) ?1(?:\.0)?\b
+AGPL-1.0|3|affero general public|\baffero general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?1(?:\.0)?\b
+AGPL-1.0-or-later|3|affero general public|\baffero general public license(?:,? as published by the free software foundation)?[,;]? (?:either )?(?:version|v\.?) ?1(?:\.0)?(?: of the license)?,? or,? (?:\(?at your option\)?,? )?(?:any )?later(?: version)?
 AGPL|2|affero general public|\b(?:the )?(?:gnu )?affero general public licen[sc]e\b
 AGPL|1|agpl|\bagpl(?: licen[sc]ed?)?\b
 GFDL-1.3|3|free documentation|(?:the )?gnu free documentation license,? (?:version|v\.?) ?1\.3\b

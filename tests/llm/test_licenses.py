@@ -68,3 +68,21 @@ def test_edges(edge, empty):
 def test_very_long_text_is_scanned_whole():
     text = ("word " * 400_000) + SENTENCES[1]
     assert len(licenses.Scanner().scan(text)) == 1
+
+
+def test_standard_gnu_notices_keep_version_and_or_later():
+    s = licenses.Scanner()
+    strong = lambda t: [s.rules[n].license for *_, n in s.scan(t) if s.rules[n].priority == 3]
+    head = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation"
+    names = {"General Public License": ("GPL", ("2", "3")), "Lesser General Public License": ("LGPL", ("2.1", "3")), "Library General Public License": ("LGPL", ("2",)), "Affero General Public License": ("AGPL", ("3",))}
+    for name, (family, versions) in names.items():
+        for v in versions:
+            full = f"{family}-{v if '.' in v else v + '.0'}"
+            for gap in ("; either ", ", either ", ";\neither "):
+                for tail in (" of the License, or\n(at your option) any later version.", " of the License, or (at your option) any\nlater version.", ", or (at your option) any later version.", " or later."):
+                    assert strong(head.format(name) + f"{gap}version {v}{tail}") == [full + "-or-later"], (name, v, gap, tail)
+            for gap in ("; ", ", "):
+                assert strong(head.format(name) + f"{gap}version {v} of the License.") == [full]
+            assert strong(f"under the terms of the GNU {name} version {v}, or the Foo License") == [full]
+    for text, want in (("LGPL-2.1+", "LGPL-2.1-or-later"), ("LGPLv3", "LGPL-3.0"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("licensed under the GNU General Public License version 3.0 or later", "GPL-3.0-or-later")):
+        assert strong(text) == [want], text
