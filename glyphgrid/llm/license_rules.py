@@ -41,7 +41,7 @@ BSD-3-Clause|3|bsd|\b(?:3[- ]clause|three[- ]clause|new|modified|revised)[- ]bsd
 BSD-3-Clause|3|bsd|\bbsd[- ]3[- ]clause\b(?: licen[sc]e)?
 BSD-3-Clause|3|spdx license identifier|spdx-license-identifier: bsd-3-clause\b
 BSD-3-Clause|3|bsd|https?://(?:www\.)?opensource\.org/licenses/bsd-3-clause\b
-BSD-3-Clause|2|endorse|neither the name of [^\n]{1,80} may be used to endorse or promote products
+BSD-3-Clause|2|endorse|neither the name of (?:(?!\n\s*\n|neither the name of)[\s\S])+? may be used to endorse or promote products
 BSD-4-Clause|3|bsd|\b(?:4[- ]clause|four[- ]clause|original)[- ]bsd licen[sc]e\b
 BSD-4-Clause|3|spdx license identifier|spdx-license-identifier: bsd-4-clause\b
 BSD-4-Clause|2|advertising|all advertising materials mentioning features or use of this software must display
@@ -269,6 +269,6 @@ Proprietary|2|proprietary|\bproprietary and confidential\b
 Proprietary|1|unauthori|unauthori[sz]ed (?:copying|reproduction)(?: or copying)? of this (?:file|document|work)\b
 Dual|1|dual licen|\bdual[- ]licen[sc]ed\b
 Unclear|1|spdx license identifier|spdx-license-identifier: [a-z0-9.+-]{2,40}
-Unclear|1|licensed under|\blicensed under (?:the )?(?:terms of )?[^\n.]{1,80}? licen[sc]e\b
+Unclear|1|licensed under|\blicensed under (?:the )?(?:terms of )?(?:(?!\n\s*\n|licensed under|\.(?:\s|$))[\s\S])+? licen[sc]e\b
 Unclear|1|open source|\bopen[- ]source licen[sc]e\b
 """

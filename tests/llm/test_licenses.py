@@ -86,3 +86,18 @@ def test_standard_gnu_notices_keep_version_and_or_later():
             assert strong(f"under the terms of the GNU {name} version {v}, or the Foo License") == [full]
     for text, want in (("LGPL-2.1+", "LGPL-2.1-or-later"), ("LGPLv3", "LGPL-3.0"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("licensed under the GNU General Public License version 3.0 or later", "GPL-3.0-or-later")):
         assert strong(text) == [want], text
+
+
+def test_bsd_sentence_and_unclear_mention_run_to_their_end():
+    s = licenses.Scanner()
+    name = lambda t: [s.rules[n].license for *_, n in s.scan(t)]
+    tail = "nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    for holder in ("the copyright holder", "Foo, Inc.", "J. Random Hacker", "the\n   University of California, Berkeley", "the Very Long Named Institute " * 8):
+        assert name(f"3. Neither the name of {holder} {tail}") == ["BSD-3-Clause"], holder
+    assert name(f"Neither the name of the rose.\n\nNeither the name of the copyright holder {tail}") == ["BSD-3-Clause"]
+    assert name("Neither the name of the rose.\n\nIt may be used to endorse or promote products.") == []
+    for middle in ("the Foo\nBar", "the Foo v2.0", "a rather long and winding name " * 6 + "of a"):
+        assert name(f"licensed under {middle} license") == ["Unclear"], middle
+    assert name("licensed under something. A license") == [] and name("licensed under something\n\nThe Foo license") == []
+    # no quadratic cost where sentences never end
+    assert name("licensed under neither the name of x " * 20_000) == []
