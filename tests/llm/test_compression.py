@@ -46,3 +46,27 @@ def test_in_domain_texts_score_higher(spark):
     rows = compression.cross_entropy(docs, domain, 640).collect()
     mean = lambda odd: sum(r["score"] for r in rows if r["doc_id"] % 2 == odd) / 30
     assert mean(1) > mean(0) + 0.01
+
+
+def test_dictionaries_grow_with_the_corpora(spark, monkeypatch):
+    monkeypatch.setattr(compression, "DICTIONARY_BYTES", 64)
+    monkeypatch.setattr(compression, "SHARE", 4)
+    held = []
+    monkeypatch.setattr(compression, "score", lambda docs, own, general, level: held.append((own, general)) or docs)
+    domain = spark.createDataFrame([(" ".join(f"chat{i}" for i in range(100)),)], "text string")
+    for n in (100, 1000):
+        docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(n)))], "doc_id bigint, text string")
+        compression.cross_entropy(docs, domain)
+        size = sum(len(w) + 1 for w in [f"chat{i}" for i in range(100)] + [f"word{i}" for i in range(n)]) // 4
+        assert held[-1] == (brute_dictionary([domain.first()["text"]], size), brute_dictionary([docs.first()["text"]], size))
+    assert len(held[1][1]) > 5 * len(held[0][1])
+    compression.cross_entropy(domain.limit(0).selectExpr("1L AS doc_id", "text"), domain.limit(0))
+    assert held[-1] == (b"", b"")
+
+
+def test_a_large_dictionary_is_reached_to_its_far_end():
+    words = [f"{(i * 2654435761) % 2**32:08x}{(i * 40503 + 7) % 65536:04x}".encode() for i in range(100_000)]
+    content = b" ".join(words)
+    near, far, other = b" ".join(words[-999::3]), b" ".join(words[:999:3]), b" ".join(w[::-1] for w in words[:999:3])
+    cost = [len(compression.compressor(content).compress(x)) for x in (near, far, other)]
+    assert cost[0] < 0.8 * cost[2] and cost[1] < 0.8 * cost[2]
