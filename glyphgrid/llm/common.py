@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,13 @@ ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where none is set, as in tests, a temporary one is."""
+    """The session's spark.checkpoint.dir; where none is set a temporary one, on a local master alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphgrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphgrid-"))
     return sc.getCheckpointDir()
 
 
@@ -40,6 +44,50 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int =
     return run
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: str, most: int | None = None) -> Iterator[pa.RecordBatch | int]:
+    """Batches sorted by an integer column, cut between its values.
+
+    With most, a value of more rows than that comes as the bare value instead, and
+    its rows aren't held.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, hot, open_ = 0, False, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(keys).to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+        first = 0
+        if open_ == k[0]:
+            if not hot:
+                held.append(b.slice(0, starts[1]))
+                rows += int(starts[1])
+                if most is not None and rows > most:
+                    yield int(open_)
+                    held, hot = [], True
+            first = 1
+        if first < len(starts) - 1:  # a new value begins here, so the open one is complete
+            if held:
+                yield pa.concat_batches(held)
+            held, rows, hot = [], 0, False
+            sizes = np.diff(starts)
+            at = starts[first]
+            if most is not None:
+                for i in np.flatnonzero(sizes[first:-1] > most) + first:
+                    if starts[i] > at:
+                        yield b.slice(at, starts[i] - at)
+                    yield int(k[starts[i]])
+                    at = starts[i + 1]
+            if starts[-2] > at:
+                yield b.slice(at, starts[-2] - at)
+            held, rows, open_ = [b.slice(starts[-2])], int(sizes[-1]), k[-1]
+        if most is not None and rows > most and not hot:
+            yield int(open_)
+            held, hot = [], True
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

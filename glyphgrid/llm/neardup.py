@@ -1,11 +1,13 @@
-"""Near-duplicate groups: MinHash signatures under a multi-index Hamming join.
+"""Near-duplicate pairs and groups: MinHash signatures under a multi-index Hamming join.
 
 A text's signature has K positions of 16 bits (b-bit MinHash of its word
-trigrams, b = 16).  Two documents are near when their signatures differ in at most
-RADIUS positions.  The positions are split into CHUNKS chunks, each allowed
-ERRORS differing positions: a pair within RADIUS < CHUNKS * (ERRORS + 1) has a
-chunk with at most ERRORS, so both share a key made of that chunk with those
-positions masked.  All masks are enumerated, so no pair is missed.
+trigrams, b = 16).  Documents of one signature are a class; two classes are linked
+when their signatures differ in at most RADIUS positions.  The positions are split
+into CHUNKS chunks, each allowed ERRORS differing positions: a pair within
+RADIUS < CHUNKS * (ERRORS + 1) has a chunk with at most ERRORS, so both share a key
+made of that chunk with those positions masked.  All masks are enumerated, so no
+pair is missed.  A pair counts in the bucket of the first key that it shares, so
+each is found once and nothing need be made distinct.
 """
 
 from __future__ import annotations
@@ -17,16 +19,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from glyphgrid.llm.common import cut, per_slice
+from glyphgrid.llm.common import cut, per_slice, runs
 from glyphgrid.llm.wordhash import mix, ngrams, word_hashes
 
 K, RADIUS, CHUNKS, ERRORS, SHINGLE = 64, 26, 14, 1, 3
 #: So many ids of documents to drop, 16 bytes each in memory, are broadcast at most; more meet the texts in a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A bucket of more members is split into tiles of about so many, whose pairs are compared in tasks of their own.
+TILE = 4096
+_AT = np.uint64(63)
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BLANK = np.uint64(0xD6E8FEB86659FD93)
+#: What signatures() calls visible: a character other than ASCII white space.
+VISIBLE = r"[^\t-\r\x1c-\x20]"
 
 
 def signatures(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,17 +66,16 @@ def chunks(k: int = K, parts: int = CHUNKS) -> list[np.ndarray]:
 
 
 def masked_keys(sigs: np.ndarray, parts: int = CHUNKS, errors: int = ERRORS) -> np.ndarray:
-    """(rows, keys): a 64-bit key for each chunk and each choice of `errors` masked positions in it."""
+    """(rows, keys): a key for each chunk and each choice of `errors` masked positions in it; its low 6 bits tell its column."""
     keys = []
-    salt = 0
     for chunk in chunks(sigs.shape[1], parts):
         for masked in combinations(range(len(chunk)), min(errors, len(chunk) - 1)):
-            salt += 1
-            x = np.full(len(sigs), mix(np.array([salt], np.uint64))[0], np.uint64)
+            x = np.full(len(sigs), mix(np.array([len(keys) + 1], np.uint64))[0], np.uint64)
             for i, p in enumerate(chunk):
                 if i not in masked:
                     x = mix((x ^ sigs[:, p].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-            keys.append(x)
+            keys.append((x & ~_AT) | np.uint64(len(keys)))
+    assert len(keys) <= 64
     return np.stack(keys, 1)
 
 
@@ -95,76 +100,160 @@ def components(sigs: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: str) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by a column, cut between its values."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(keys).to_numpy(zero_copy_only=False)
-        change = np.flatnonzero(k[1:] != k[:-1])
-        if held and held[-1].column(keys)[-1].as_py() != k[0]:
-            yield pa.concat_batches(held)
-            held = []
-        if len(change):
-            last = int(change[-1]) + 1
-            yield pa.concat_batches([*held, b.slice(0, last)])
-            held = [b.slice(last)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.concat_batches(held)
+def near_pairs(sigs: np.ndarray, starts: np.ndarray, sides: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Yields (i, j, distance) of the pairs within radius inside each bucket of rows, i before j.
+
+    Buckets are the rows between starts.  Where a bucket's sides are 1 and 2 only
+    pairs across count.
+    """
+    ends = np.append(starts[1:], len(sigs))
+    size = ends - starts
+    for s in np.unique(size[(size > 1) & (size <= 32)]):
+        # small buckets of one size are compared all at once
+        i, j = np.triu_indices(s, 1)
+        at = starts[size == s]
+        for part in np.array_split(at, max(1, len(at) * len(i) // 100_000)):
+            a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            d = (sigs[a] != sigs[b]).sum(1)
+            ok = (d <= radius) & ((sides[a] == 0) | (sides[a] != sides[b]))
+            yield a[ok], b[ok], d[ok]
+    for s, e in zip(starts[size > 32], ends[size > 32]):
+        strip = max(1, (1 << 22) // ((e - s) * sigs.shape[1]))
+        for at in range(s, e, strip):
+            to = min(e, at + strip)
+            d = np.zeros((to - at, e - at), np.uint8)
+            for k in range(sigs.shape[1]):
+                d += sigs[at:to, k, None] != sigs[None, at:e, k]
+            a, b = np.nonzero(d <= radius)
+            ok = (b > a) & ((sides[at + a] == 0) | (sides[at + a] != sides[at + b]))
+            a, b = a[ok], b[ok]
+            yield a + at, b + at, d[a, b].astype(np.int64)
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig) for rows with a doc_id and a text that is not blank."""
+    """(doc_id, node, sig) for rows with a doc_id and a text that is not blank; node tells signatures apart in 64 bits."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sigs, there = signatures(b.column("text").to_pylist())
         out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in sigs], pa.binary())], names=["doc_id", "sig"])
         return out.filter(pa.array(there))
 
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(per_slice(run), "doc_id bigint, sig binary")
+    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return own.mapInArrow(per_slice(run), "doc_id bigint, sig binary").select("doc_id", F.xxhash64("sig").alias("node"), "sig")
 
 
-def edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), a < b: enough pairs of nodes (rep, sig) within radius to connect all such pairs."""
-    assert radius < CHUNKS * (ERRORS + 1)
+def classes(signed: DataFrame) -> DataFrame:
+    """(node, sig, rep, far, n_rows): a row for each signature, with its least and greatest doc_id."""
+    return signed.groupBy("node", "sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("far"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def _sig_matrix(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, K)
 
+
+def _keyed(nodes: DataFrame) -> DataFrame:
     def explode(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = masked_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, K))
-        rep = np.repeat(b.column("rep").to_numpy(), keys.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+        keys = masked_keys(_sig_matrix(b))
+        node = np.repeat(b.column("node").to_numpy(), keys.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+
+    return nodes.select("sig", "node").mapInArrow(per_slice(explode, 4000), "key bigint, node bigint")
+
+
+def buckets(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(bucket, at, side, node): who shares a key with whom, buckets of one membership once, under their first key.
+
+    A key of more than tile members comes out as pairs of tiles: members of the
+    same tile have side 0, those of two tiles 1 and 2.
+    """
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, "key"):
-            key, rep = b.column("key").to_numpy(), b.column("rep").to_numpy()
+        names = ["bucket", "at", "node"]
+        for b in runs(batches, "key", tile):
+            if isinstance(b, int):  # the key of a hot run, whose members aren't held here
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([-1], pa.int32()), pa.array([None], pa.int64())], names=names)
+                continue
+            key, node = b.column("key").to_numpy(), b.column("node").to_numpy()
             starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             size = np.diff(np.append(starts, len(key)))
             # a bucket is named by its members, so that equal ones fall together below
-            name = np.add.reduceat(mix(rep.view(np.uint64)), starts)
+            name = np.add.reduceat(mix(node.view(np.uint64)), starts)
             many = np.repeat(size > 1, size)
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(name), size)[many].view(np.int64)), pa.array(rep[many])], names=["bucket", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(name), size)[many].view(np.int64)), pa.array((key[many] & 63).astype(np.int32)), pa.array(node[many])], names=names)
+
+    keyed = _keyed(nodes)
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "bucket bigint, at int, node bigint")
+    found = cut(found.groupBy("bucket", "node").agg(F.min("at").alias("at")))
+    whole = found.where("node IS NOT NULL").select("bucket", "at", F.lit(0).alias("side"), "node")
+    hot = found.where("node IS NULL").select(F.col("bucket").alias("key"))
+    count = hot.count()
+    if not count:
+        return whole
+    hot = F.broadcast(hot) if count <= BROADCAST_IDS else hot
+    own = cut(keyed.join(hot, "key"))
+    sizes = own.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("bigint").alias("tiles"))
+    sizes = F.broadcast(sizes) if count <= BROADCAST_IDS else sizes
+    placed = own.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
+    lo, hi = F.least("tile", "other"), F.greatest("tile", "other")
+    side = F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
+    return whole.unionByName(met.select(F.xxhash64("key", lo, hi).alias("bucket"), F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("at"), side.alias("side"), "node"))
+
+
+def _linked(nodes: DataFrame, radius: int, tile: int, what: str) -> DataFrame:
+    """What is found of pairs within radius.
+
+    pairs: (a, b, distance), each once, a < b, by rep.  edges: (a, b), enough of them to connect all
+    pairs.  links: those edges and, where b is null, how many pairs the class a has in a bucket.
+    """
+    assert radius < CHUNKS * (ERRORS + 1)
+    members = buckets(nodes, tile).join(nodes.select("node", "sig", "rep"), "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, "bucket"):
-            bucket, rep = b.column("bucket").to_numpy(), b.column("rep").to_numpy()
-            sigs = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-            at = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-            one, other = [], []
-            for s, e in zip(at[:-1], at[1:]):
-                root = s + components(sigs[s:e], radius)
-                off = np.flatnonzero(root != np.arange(s, e))
-                one.append(rep[root[off]])
-                other.append(rep[s:e][off])
-            x, y = np.concatenate(one), np.concatenate(other)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    keyed = nodes.select("sig", "rep").mapInArrow(per_slice(explode, 4000), "key bigint, rep bigint")
-    buckets = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "bucket bigint, rep bigint").distinct()
-    members = buckets.join(nodes, "rep").select("bucket", "rep", "sig")
-    return members.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(link, "a bigint, b bigint").distinct()
+        for b in runs(batches, "bucket"):
+            bucket, node, rep, at, sides = (b.column(c).to_numpy() for c in ("bucket", "node", "rep", "at", "side"))
+            sigs = _sig_matrix(b)
+            starts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1))
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            if what != "pairs":
+                root = np.concatenate([s + components(sigs[s:e], radius) for s, e in zip(starts, np.append(starts[1:], len(bucket)))])
+                off = np.flatnonzero(root != np.arange(len(root)))
+                out.append((rep[root[off]], rep[off], np.zeros(len(off), np.int64)))
+            if what != "edges":
+                keys, tally = masked_keys(sigs), np.zeros(len(bucket), np.int64)
+                for i, j, d in near_pairs(sigs, starts, sides, radius):
+                    for part in np.array_split(np.arange(len(i)), max(1, len(i) // 50_000)):
+                        x, y = i[part], j[part]
+                        here = np.argmax(keys[x] == keys[y], 1) == at[x]
+                        x, y = x[here], y[here]
+                        if what == "pairs":
+                            out.append((rep[x], rep[y], d[part][here]))
+                        else:
+                            tally += np.bincount(x, minlength=len(tally)) + np.bincount(y, minlength=len(tally))
+                if what == "links":
+                    some = np.flatnonzero(tally)
+                    yield _rows(node[some], None, tally[some])
+            for x, y, d in out:
+                yield _rows(np.minimum(x, y), np.maximum(x, y), d)
+
+    return members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(link, "a bigint, b bigint, n bigint")
+
+
+def _rows(a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+
+def pairs(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b, distance): every pair of classes whose signatures differ in at most radius positions, once.
+
+    a and b are the least doc_ids of the two classes, a <= b (equal only where one
+    doc_id has both texts).  Documents of one class have distance 0 and aren't
+    listed; classes() tells who is in which.  Null and blank texts and null
+    doc_ids have no class; an empty table gives no pairs.
+    """
+    nodes = cut(classes(cut(sign(docs))))
+    return _linked(nodes, radius, tile, "pairs").withColumnRenamed("n", "distance")
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -190,47 +279,64 @@ def connected(pairs: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, group_id, keep) for every document that has a near copy.
+def groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(doc_id, class_id, group_id, n_rows, n_links, keep) for every document that has a near copy.
 
-    group_id is the least doc_id of all documents joined by chains of near
-    pairs; keep is true for that one alone.  Documents without a near copy do not
-    appear, nor do rows with a null doc_id or a null or blank text.  Rows that
-    repeat a doc_id count as one document, near to all that any of its texts is
-    near to.  Texts are signed whole; columns but doc_id and text are ignored.
+    class_id is the least doc_id with the document's signature, n_rows how many
+    rows have that signature, n_links how many other classes are within radius of
+    it.  group_id is the least doc_id of all documents joined by chains of links;
+    keep is true for that one alone.  Documents without a near copy do not appear,
+    nor do rows with a null doc_id or a null or blank text.  Rows that repeat a
+    doc_id count as one document, with the least class_id and the sums over the
+    classes of its texts.  Texts are signed whole; columns but doc_id and text
+    are ignored.
     """
-    return _groups(cut(sign(docs)), radius)
-
-
-def _groups(signed: DataFrame, radius: int) -> DataFrame:
-    # equal signatures are one node; the pairs between their documents need no join
-    nodes = cut(signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("far")))
-    same = signed.join(nodes.where("rep <> far"), "sig").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    near = edges(nodes.select("sig", "rep"), radius)
-    found = connected(near.unionByName(same))
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
-
-
-def drop_near(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    return _groups(cut(sign(docs)), radius, tile, True)
+
+
+def _groups(signed: DataFrame, radius: int, tile: int, counted: bool) -> DataFrame:
+    nodes = cut(classes(signed))
+    found = cut(_linked(nodes, radius, tile, "links" if counted else "edges"))
+    near = found.where("b IS NOT NULL").select("a", "b")
+    if counted:
+        per = nodes.select("node", "rep", "far", "n_rows").join(found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links")), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        per = per.where("rep <> far OR n_links > 0")
+    else:
+        linked = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        own = nodes.select("node", "rep", "far", F.lit(0).alias("n_rows"), F.lit(0).alias("n_links"))
+        per = own.where("rep <> far").unionByName(own.where("rep = far").join(linked, "rep", "left_semi"))
+    inside = signed.select("doc_id", "node").join(per, "node").groupBy("doc_id", "node").agg(*[F.first(c).alias(c) for c in ("rep", "n_rows", "n_links")])
+    by_doc = cut(inside.groupBy("doc_id").agg(F.min("rep").alias("class_id"), F.max("rep").alias("last"), F.sum("n_rows").alias("n_rows"), F.sum("n_links").alias("n_links")))
+    # documents with texts of several classes join these
+    several = by_doc.where("class_id <> last").select("doc_id", F.col("class_id").alias("a"))
+    if not several.isEmpty():
+        near = near.unionByName(inside.select("doc_id", F.col("rep").alias("b")).join(several, "doc_id").select("a", "b").where("a <> b"))
+    root = connected(near)
+    out = by_doc.join(root, by_doc["class_id"] == root["node"], "left").withColumn("group_id", F.coalesce("root", "class_id"))
+    return out.select("doc_id", "class_id", "group_id", "n_rows", "n_links", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+
+
+def drop_near(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """docs without the near copies: of each group the document of least doc_id stays.
 
-    Rows without a doc_id or with a null or blank text stay as they are.  Of rows
-    that repeat a doc_id with a visible text, the one of least text stays.
+    Rows without a doc_id or with a null or blank text stay as they are, also
+    where their doc_id is dropped.  Of rows that repeat a doc_id that stays, with
+    visible texts, one stays: that of least text, then least by the other columns
+    that have an order.
     """
     signed = cut(sign(docs))
-    gone = _groups(signed, radius).where(~F.col("keep")).select("doc_id")
-    twice = signed.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = cut(_groups(signed, radius, tile, False).where(~F.col("keep")).select("doc_id").distinct())
+    twice = cut(signed.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    name, seen = "_glyphgrid_doc_id", F.col("text").rlike(VISIBLE)
     key = F.col("doc_id").cast("bigint")
-    name = "_glyphgrid_doc_id"
-    gone, twice = cut(gone.distinct()), cut(twice)
     repeated = not twice.isEmpty()
     out = (gone.unionByName(twice).distinct() if repeated else gone).withColumnRenamed("doc_id", name)
     small = out.count() <= BROADCAST_IDS
-    once = docs.join(F.broadcast(out) if small else out, key == out[name], "left_anti")
+    once = docs.join(F.broadcast(out) if small else out, (key == out[name]) & seen, "left_anti")
     if not repeated:
         return once
     again = twice.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", name)
-    shown = docs.join(F.broadcast(again) if small else again, key == again[name], "left_semi")
-    rank = "_glyphgrid_rank"
-    first = shown.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]))).where(F.col(rank) == 1).drop(rank)
-    return once.unionByName(first)
+    shown = docs.where(seen).join(F.broadcast(again) if small else again, key == again[name], "left_semi")
+    ordered = [F.col("text"), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]]
+    first = shown.groupBy(key.alias(name)).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*ordered)).alias("_glyphgrid_row"))
+    return once.unionByName(first.select("_glyphgrid_row.*"))

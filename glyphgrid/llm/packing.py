@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphgrid.llm.common import runs
 from glyphgrid.llm.mixing import token_count
-from glyphgrid.llm.neardup import _runs
 
 #: Tokens, segments, loss-bearing tokens.
 LIMITS = (2048, 16, 1536)
@@ -71,7 +71,7 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = LIMITS, shard_rows:
     order = ["shard", "id", "tokens", "segments", "loss"] + ["text"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, "shard"):
+        for group in runs(batches, "shard"):
             shard = group.column("shard").to_numpy()
             ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard))
             start = 0

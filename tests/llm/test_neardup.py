@@ -1,7 +1,8 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,24 +33,107 @@ def brute(rows):
     return {i: g for g, m in members.items() if len(m) > 1 for i in m}
 
 
-def found(docs):
-    return {r["doc_id"]: (r["group_id"], r["keep"]) for r in neardup.groups(docs).collect()}
+def brute_pairs(rows):
+    """{(least doc_id, least doc_id): distance} of the classes within the radius, and the documents of each class."""
+    own = [(i, t) for i, t, _ in rows if i is not None and t is not None]
+    sigs, there = neardup.signatures([t for _, t in own])
+    classes = defaultdict(list)
+    for (i, _), s, ok in zip(own, sigs, there):
+        if ok:
+            classes[s.tobytes()].append(i)
+    kinds = sorted(classes)
+    x = np.array([np.frombuffer(k, np.uint16) for k in kinds]).reshape(-1, neardup.K)
+    out = Counter()
+    for a in range(len(kinds)):
+        for b in range(a):
+            d = int((x[a] != x[b]).sum())
+            if d <= neardup.RADIUS:
+                out[(*sorted((min(classes[kinds[a]]), min(classes[kinds[b]]))), d)] += 1
+    return out, list(classes.values())
 
 
-def test_groups_are_those_of_all_pairs(make_docs):
-    rng, rows = random.Random(1), []
-    for g in range(12):
+def found(docs, **options):
+    return {r["doc_id"]: (r["group_id"], r["keep"]) for r in neardup.groups(docs, **options).collect()}
+
+
+def mutated(seed=1, sizes=(1, 2, 3, 40)):
+    rng, rows = random.Random(seed), []
+    for _ in range(12):
         base = words(rng, rng.randrange(30, 400))
-        for _ in range(rng.choice([1, 2, 3, 40])):
+        for _ in range(rng.choice(sizes)):
             w = [rng.choice(words(rng, 1)) if rng.random() < 0.03 else x for x in base]
             rows.append((len(rows), " ".join(w), "a"))
     rows += [(1000 + i, " ".join(words(rng, 60)), "a") for i in range(60)]
+    rows += [(2000 + i, rows[0][1].upper(), "a") for i in range(5)]
     rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("tile", [neardup.TILE, 7])
+def test_every_pair_comes_out_once_with_its_distance(make_docs, tile):
+    rows = mutated()
+    want, classes = brute_pairs(rows)
+    got = Counter(tuple(r) for r in neardup.pairs(make_docs(rows), tile=tile).collect())
+    assert got == want and len(want) > 300
+    links = Counter()
+    for a, b, _ in want.elements():
+        links[a] += 1
+        links[b] += 1
+    own = {i: (min(c), len(c), links[min(c)]) for c in classes for i in c if len(c) > 1 or links[min(c)]}
+    rows_ = neardup.groups(make_docs(rows), tile=tile).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_rows"], r["n_links"]) for r in rows_} == own
+    assert {r["doc_id"]: r["group_id"] for r in rows_} == brute(rows)
+
+
+def test_pairs_with_one_key_among_strangers(make_docs):
+    """A hot key whose members aren't near: no pair is lost and none is invented."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 16, (60, neardup.K)).astype(np.uint16)
+    x[:, :5] = 7
+    x[1] = x[0]
+    x[1, 40:60] ^= 1
+    starts = np.array([0])
+    got = {(int(i), int(j)) for i, j, _ in (p for y in neardup.near_pairs(x, starts, np.zeros(60, int), neardup.RADIUS) for p in zip(*y))}
+    assert got == {(0, 1)}
+
+
+def test_drop_keeps_rows_without_a_signature(make_docs):
+    """Null and blank texts stay under repeated and dropped ids; a visible text is never lost to a blank one."""
+    rng = random.Random(7)
+    a, b, c = (" ".join(words(rng, 50)) for _ in range(3))
+    rows = [(1, a, "s"), (2, a, "s"), (2, None, "s"), (2, "  ", "s"), (5, b, "s"), (5, c, "s"), (5, " \n ", "s"), (5, None, "s"), (6, "\x1c\t", "s"), (None, a, "s"), (7, "\u3000", "s"), (8, "\x00", "s")]
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.drop_near(make_docs(rows)).collect())
+    assert got == Counter([(1, a), (2, None), (2, "  "), (5, min(b, c)), (5, " \n "), (5, None), (6, "\x1c\t"), (None, a), (7, "\u3000"), (8, "\x00")])
+
+
+def brute_drop(rows):
+    group = brute(rows)
+    stay, best = Counter(), {}
+    _, there = neardup.signatures([t for _, t, _ in rows])
+    for (i, t, _), seen in zip(rows, there):
+        if i is None or t is None or not seen:
+            stay[i, t] += 1
+        elif group.get(i, i) == i:
+            best[i] = min(best.get(i, t), t, key=lambda x: x.encode())
+    return stay + Counter(best.items())
+
+
+def test_drop_against_a_plain_run_on_repeated_blank_and_null_rows(make_docs):
+    rng = random.Random(9)
+    base = [" ".join(words(rng, 40)) for _ in range(12)]
+    texts = [*base, *[t + " tail" for t in base], None, "", " ", "\t", "!!", "x"]
+    rows = [(rng.choice([None, *range(40)]), rng.choice(texts), "s") for _ in range(220)]
+    got = Counter((r["doc_id"], r["text"]) for r in neardup.drop_near(make_docs(rows)).collect())
+    assert got == brute_drop(rows)
+
+
+def test_groups_are_those_of_all_pairs(make_docs):
+    rows = mutated()
     want = brute(rows)
     got = found(make_docs(rows))
     assert {i: g for i, (g, _) in got.items()} == want
     assert all(keep == (i == g) for i, (g, keep) in got.items())
-    assert not any(i >= 1000 for i in got)
+    assert not any(1000 <= i < 2000 for i in got)
 
 
 def test_case_and_punctuation_do_not_matter_and_short_copies_are_found(make_docs):
