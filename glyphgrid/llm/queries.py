@@ -43,6 +43,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every row whose id is divisible by 50."""
     return rabitq.neighbours(table(spark, sf_dir, "embeddings"))
 
 
@@ -62,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_host_rank": hostrank.sql(),
+        "op8_rotated_codes": rabitq.sql(),
         "op2_flac": """
             WITH t AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations)
             SELECT conv_id, turn, b AS block, b * 1024 AS sample_offset, least(1024, length(h) // 2 - b * 1024) AS n_samples,

@@ -1,18 +1,21 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-A vector less its block's centroid, padded and rotated at random, keeps one bit
-a dimension and two scalars (RaBitQ, Gao & Long 2024).  From bits and scalars
-inner products are estimated with an error bound; only vectors whose bound
-reaches a query's k-th best are compared exactly.  Every row is a query.
-
-Vectors lie in blocks of near ones.  A block searched for its own queries gives
-each a k-th best that must be beaten; another block is visited for a query only
-if its centroid and radius allow an inner product as great.
+A vector less its cell's centre, padded and rotated at random, keeps one bit a
+dimension and three scalars (RaBitQ, Gao & Long 2024).  A query, rotated alike and
+quantised to four bits a dimension, meets the packed bits by AND and popcount; the
+estimate has an error bound, and only vectors whose bound reaches the query's k-th
+best so far are compared exactly.
+
+The index is a table of codes beside vectors, sorted by cell, that no shuffle
+touches again.  Queries go to it in waves of bounded size, broadcast; each task
+keeps every query's best k of its rows.  A k-th best among a bounded sample is
+where the bar begins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,79 +24,110 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphgrid.llm.common import cut, parts, per_slice
-from glyphgrid.llm.neardup import _runs
 
-K, BITS, EPSILON, BLOCK_ROWS, SEED = 10, 256, 1.9, 4096, 11
-#: At most so many centroids are broadcast; beyond them blocks of one cell are told apart by hash.
-MAX_CELLS = 16_384
-_SLICE = 512
+K, EVERY, EPSILON, SEED = 10, 50, 3.0, 11
+#: Cells of about so many rows; the centres, at most so many, are broadcast.
+CELL_ROWS, MAX_CELLS = 4096, 16_384
+#: Rows of least hash that the centres and first bars are fitted on, at most, and bytes of queries in a wave.
+SAMPLE_ROWS, SAMPLE_BYTES, WAVE_BYTES = 65_536, 1 << 26, 1 << 25
+_PLANES, _TILE = 4, 1 << 20
 
 
-def rotation(dims: int, bits: int = BITS, seed: int = SEED) -> np.ndarray:
+def rotation(dims: int, bits: int, seed: int = SEED) -> np.ndarray:
     """(dims, bits): orthonormal rows, the first dims of a random rotation of bits dimensions."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
     return (q * np.sign(np.diag(r)))[:dims].astype(np.float32)
 
 
+def code_bits(dims: int) -> int:
+    """Two bits a dimension, in whole words of 64."""
+    return -(-2 * dims // 64) * 64
+
+
 class Codes:
-    """Packed bits and correction scalars of vectors around a centroid."""
-
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray):
-        self.centroid = vectors.mean(0) if len(vectors) else np.zeros(turn.shape[0], np.float32)
-        rest = vectors - self.centroid
-        self.norm = np.linalg.norm(rest, axis=1)
-        self.dot_c = vectors @ self.centroid
-        turned = (rest @ turn) / np.maximum(self.norm, 1e-12)[:, None]
-        self.bits = np.packbits(turned > 0, axis=1)
+    """Packed bits (rows, words) and correction scalars of vectors around a centre."""
+
+    def __init__(self, bits: np.ndarray, scale: np.ndarray, spread: np.ndarray, shift: np.ndarray, norm: np.ndarray):
+        self.bits, self.scale, self.spread, self.shift, self.norm = bits, scale, spread, shift, norm
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
+        d = turn.shape[1]
+        rest = vectors - centre
+        norm = np.linalg.norm(rest, axis=1)
+        turned = (rest @ turn) / np.maximum(norm, 1e-12)[:, None]
+        bits = np.packbits(turned > 0, axis=1, bitorder="little").view("<u8")
         # the code's inner product with the vector it stands for
-        self.own = np.maximum(np.abs(turned).sum(1) / np.sqrt(turn.shape[1]), 1e-6)
-        self.radius = float(self.norm.max()) if len(vectors) else 0.0
-
-    def estimate(self, queries: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-        """(inner products, error bounds), each (queries, vectors)."""
-        bits = turn.shape[1]
-        signs = np.unpackbits(self.bits, axis=1, count=bits).astype(np.float32) * 2 - 1
-        rest = queries - self.centroid
-        far = np.linalg.norm(rest, axis=1)
-        scale = (self.norm / (self.own * np.sqrt(bits))).astype(np.float32)
-        guess = ((rest @ turn) @ signs.T) * scale
+        own = np.maximum(np.abs(turned).sum(1) / np.sqrt(d), 1e-6)
+        spread = norm * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(d - 1)
         # <x, q> = <x - c, q - c> + <c, q> + <x, c> - <c, c>
-        guess += (queries @ self.centroid)[:, None] + (self.dot_c - self.centroid @ self.centroid)[None, :]
-        spread = self.norm * np.sqrt(np.maximum(1 - self.own**2, 0)) / self.own * (epsilon / np.sqrt(bits - 1))
-        return guess, far[:, None] * spread[None, :] + 1e-6
+        shift = vectors @ centre - (centre * centre).sum(-1) if centre.ndim == 1 else ((vectors - centre) * centre).sum(1)
+        return cls(bits, norm / (own * np.sqrt(d)), spread, shift, norm)
 
+    def estimate(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+        """(inner products, error bounds), each (queries, vectors), from the bits alone."""
+        rest = queries - centre
+        turned = rest @ turn
+        low = turned.min(1, keepdims=True)
+        step = np.maximum(turned.max(1, keepdims=True) - low, 1e-12) / ((1 << _PLANES) - 1)
+        level = np.rint((turned - low) / step).astype(np.uint8)
+        total = np.zeros((len(queries), len(self.bits)), np.uint16)
+        for plane in range(_PLANES - 1, -1, -1):
+            mask = np.packbits(level >> plane & 1, axis=1, bitorder="little").view("<u8")
+            total <<= np.uint16(1)
+            for word in range(mask.shape[1]):
+                total += np.bitwise_count(mask[:, word, None] & self.bits[None, :, word])
+        ones = np.bitwise_count(self.bits).sum(1, dtype=np.float32)
+        # the sum of the query's dimensions under set bits, less those under the rest
+        guess = total.astype(np.float32)
+        guess *= (2 * step).astype(np.float32)
+        guess += (2 * low).astype(np.float32) * ones
+        guess -= turned.sum(1, keepdims=True).astype(np.float32)
+        guess *= self.scale.astype(np.float32)
+        guess += (queries @ centre)[:, None].astype(np.float32) + self.shift.astype(np.float32)
+        far = np.linalg.norm(rest, axis=1, keepdims=True)
+        rounded = step * np.sqrt(turn.shape[1] / 12)
+        err = (epsilon * far).astype(np.float32) * self.spread.astype(np.float32)
+        err += (epsilon * rounded).astype(np.float32) * self.scale.astype(np.float32)
+        err += np.float32(1e-5) * (1 + np.abs(guess))
+        return guess, err
 
-def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: Codes, turn: np.ndarray, k: int, floor: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Yields (query row, vector row, inner product) of each query's best k here.
 
-    Only pairs of different ids count, and of those only such as reach floor, the
-    inner product each query already has k of.
-    """
-    for at in range(0, len(queries), _SLICE):
-        q = queries[at : at + _SLICE]
-        own = np.full(len(q), -np.inf) if floor is None else floor[at : at + _SLICE]
-        # a block whose sphere is too far for all these queries is not looked into
-        reach = q @ codes.centroid + codes.radius * np.linalg.norm(q, axis=1) + 1e-5
-        live = np.flatnonzero(reach >= own)
-        if not len(live) or not len(ids):
-            continue
-        q, own = q[live], own[live]
-        guess, err = codes.estimate(q, turn)
-        same = q_ids[at : at + _SLICE][live][:, None] == ids[None, :]
-        low = np.where(same, -np.inf, guess - err)
-        if len(ids) > k:
-            own = np.maximum(own, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
-        r, c = np.nonzero((guess + err >= own[:, None] - 1e-6) & ~same)
-        if len(r) > 0.1 * guess.size:
-            exact = (q.astype(np.float64) @ vectors.T.astype(np.float64))[r, c]
-        else:
-            exact = np.einsum("ij,ij->i", q[r].astype(np.float64), vectors[c].astype(np.float64))
-        exact = np.round(exact, 6)
-        order = np.lexsort((ids[c], -exact, r))
-        r, c, exact = r[order], c[order], exact[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        best = place < k
-        yield live[r[best]] + at, c[best], exact[best]
+class Best:
+    """Each query's best k so far: inner products of 6 decimals, ties to the lesser id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, bar: np.ndarray, k: int):
+        self.ids, self.queries, self.k, self.bar = ids, queries, k, bar.copy()
+        self.row, self.neighbour, self.ip = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, row: np.ndarray, neighbour: np.ndarray, ip: np.ndarray) -> None:
+        row, neighbour, ip = np.append(self.row, row), np.append(self.neighbour, neighbour), np.append(self.ip, ip)
+        order = np.lexsort((neighbour, -ip, row))
+        row, neighbour, ip = row[order], neighbour[order], ip[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.row, self.neighbour, self.ip = row[keep], neighbour[keep], ip[keep]
+        last = place == self.k - 1
+        self.bar[row[last]] = np.maximum(self.bar[row[last]], ip[last])
+
+    def visit(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes, centre: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> None:
+        """Looks through vectors of one cell for all queries that its sphere can serve."""
+        reach = self.queries @ centre + codes.norm.max() * np.linalg.norm(self.queries, axis=1) + 1e-4
+        live = np.flatnonzero(reach >= self.bar)
+        step = max(1, _TILE // max(len(ids), 1))
+        for at in range(0, len(live), step):
+            some = live[at : at + step]
+            q = self.queries[some]
+            guess, err = codes.estimate(q, centre, turn, epsilon)
+            err += guess
+            r, c = np.nonzero(err >= (self.bar[some] - 2e-6)[:, None])
+            if len(r) > 0.25 * guess.size:
+                exact = (q.astype(np.float64) @ vectors.T.astype(np.float64))[r, c]
+            else:
+                exact = np.einsum("ij,ij->i", q[r].astype(np.float64), vectors[c].astype(np.float64))
+            exact = np.round(exact, 6)
+            ok = (exact >= self.bar[some[r]] - 1e-9) & (self.ids[some[r]] != ids[c])
+            self.add(some[r[ok]], ids[c[ok]], exact[ok])
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -103,88 +137,120 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where(ok)
 
 
-def neighbours(vectors: DataFrame, k: int = K, bits: int = BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbour, inner_product): the k best others of every row.
+def centres(sample: np.ndarray, cells: int, rounds: int = 5) -> np.ndarray:
+    """Lloyd's k-means from the first rows of the sample; a cell that empties keeps its centre."""
+    c = sample[:cells].copy()
+    for _ in range(rounds if cells > 1 else 1):
+        near = np.concatenate([np.argmin((c * c).sum(1)[None, :] - 2 * part @ c.T, axis=1) for part in np.array_split(sample, max(1, len(sample) // 4096))])
+        count = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c, np.float64)
+        np.add.at(total, near, sample)
+        c = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], c).astype(np.float32)
+    return c
+
+
+def first_bars(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best inner product among the sample, which its true one is no less than."""
+    bar = np.full(len(queries), -np.inf)
+    for at in range(0, len(queries), 256):
+        s = queries[at : at + 256].astype(np.float64) @ sample.T.astype(np.float64)
+        s[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        if s.shape[1] > k:
+            bar[at : at + 256] = np.round(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], 6)
+    return bar
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+
+
+_INDEX = "cell int, vec_id bigint, code binary, scale float, spread float, shift float, norm float, v array<float>"
+
+
+def build_index(own: DataFrame, middle: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """(cell, vec_id, code, scale, spread, shift, norm, v) of every row (vec_id, v)."""
+    held, dims = own.sparkSession.sparkContext.broadcast((middle, turn)), len(turn)
+
+    def place(b: pa.RecordBatch) -> pa.RecordBatch:
+        c, t = held.value
+        x = _matrix(b.column("v"), dims)
+        near = np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
+        codes = Codes.of(x, c[near], t)
+        return pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column("vec_id"), pa.array([y.tobytes() for y in codes.bits], pa.binary()), *(pa.array(y.astype(np.float32)) for y in (codes.scale, codes.spread, codes.shift, codes.norm)), b.column("v")], names=["cell", "vec_id", "code", "scale", "spread", "shift", "norm", "v"])
+
+    return own.select("vec_id", "v").mapInArrow(per_slice(place, 4096), _INDEX)
+
+
+def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, epsilon: float = EPSILON, cell_rows: int = CELL_ROWS, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+    """(vec_id, rank, neighbour, inner_product): the k best others, among all rows, of every row whose vec_id is divisible by every.
 
     Rows with a null vec_id, or a vector that is null, empty, of another length
     than most, or has a null or NaN, are neither queries nor neighbours.  Ties go
     to the lesser vec_id (inner products have 6 decimals).  Rows that repeat a
     vec_id are one vector, the greatest; with fewer than k others there are fewer
-    rows.  Other columns are ignored.
+    rows.  Other columns are ignored.  A neighbour is missed only where its
+    estimate is off by more than epsilon deviations.
     """
     spark = vectors.sparkSession
     own = cut(_vectors(vectors).groupBy("vec_id").agg(F.max("v").alias("v")))
     kinds = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    empty = spark.createDataFrame([], "vec_id bigint, rank int, neighbour bigint, inner_product double")
     if kinds is None:
-        return spark.createDataFrame([], "vec_id bigint, rank int, neighbour bigint, inner_product double")
+        return empty
     dims, count = kinds["d"], kinds["count"]
-    own, bits = own.where(F.size("v") == dims), max(bits, dims)
-    turn = rotation(dims, bits)
-    cells = min(MAX_CELLS, -(-count // block_rows))
-    per_cell = max(1, -(-count // (cells * block_rows)))
-    picked = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cells).collect()
-    centres = np.array([r["v"] for r in picked], np.float32)
-    held = spark.sparkContext.broadcast(centres)
+    own = own.where(F.size("v") == dims)
+    turn = rotation(dims, code_bits(dims))
+    cells = max(1, min(MAX_CELLS, count // cell_rows))
+    rows = max(cells, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * dims), max(4096, 16 * cells)))
+    # at most SAMPLE_ROWS rows come to the driver
+    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow().combine_chunks()
+    sample_ids, seen = sample.column("vec_id").to_numpy(), _matrix(sample.column("v").combine_chunks(), dims)
+    middle = centres(seen, cells)
+    index = cut(build_index(own, middle, turn).repartition(max(parts(spark), -(-count // 65_536)), "vec_id").sortWithinPartitions("cell"))
 
-    def matrix(b: pa.RecordBatch, column: str) -> np.ndarray:
-        return b.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
+    asked = own.where(F.col("vec_id") % every == 0)
+    total = asked.count()
+    waves = max(1, -(-total * dims * 4 // wave_bytes))
+    found = []
+    for wave in range(waves):
+        # a wave's queries, at most about wave_bytes of them, are on the driver and broadcast
+        one = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(waves)) == wave).toArrow().combine_chunks()
+        if not one.num_rows:
+            continue
+        q_ids, q = one.column("vec_id").to_numpy(), _matrix(one.column("v").combine_chunks(), dims)
+        held = spark.sparkContext.broadcast((q_ids, q, first_bars(q_ids, q, sample_ids, seen, k), middle, turn))
 
-    def place(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = held.value
-        near = np.argmin((c * c).sum(1)[None, :] - 2 * matrix(b, "v") @ c.T, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64)), b.column("vec_id"), b.column("v")], names=["cell", "vec_id", "v"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, "block"):
-            block = group.column("block").to_numpy()
-            edges = np.flatnonzero(np.diff(block)) + 1
-            for s, e in zip(np.append(0, edges), np.append(edges, len(block))):
-                for at in range(s, e, block_rows):  # a block that came out large is two
-                    b = group.slice(at, min(block_rows, e - at))
-                    ids, x = b.column("vec_id").to_numpy(), matrix(b, "v")
-                    floor, rows = np.full(len(ids), -np.inf), []
-                    for r, c, ip in search(ids, x, ids, x, Codes(x, turn), turn, k):
-                        rows.append((ids[r], ids[c], ip))
-                        full = np.bincount(r, minlength=len(ids)) >= k
-                        last = np.full(len(ids), np.inf)
-                        np.minimum.at(last, r, ip)
-                        floor[full] = last[full]
-                    mid = x.mean(0)
-                    best = [np.concatenate(z) for z in zip(*rows)] if rows else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-                    name = int(block[s]) * 1_000_000 + (at - s) // block_rows
-                    cols = [pa.array([name]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([floor.tobytes()], pa.binary()), pa.array([mid.astype(float).tolist()]), pa.array([float(np.linalg.norm(x - mid, axis=1).max())]), pa.array([float(floor.min())]), *(pa.array([z.tolist()], pa.list_(t)) for z, t in zip(best, (pa.int64(), pa.int64(), pa.float64())))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["block", "ids", "x", "floor", "mid", "radius", "least", "a", "b", "ip"])
-
-    placed = own.select("vec_id", "v").mapInArrow(per_slice(place, 4096), "cell bigint, vec_id bigint, v array<float>")
-    blocked = placed.select((F.col("cell") * per_cell + F.pmod(F.xxhash64("vec_id"), F.lit(per_cell))).alias("block"), "vec_id", "v")
-    kind = "block bigint, ids binary, x binary, floor binary, mid array<double>, radius double, least double, a array<bigint>, b array<bigint>, ip array<double>"
-    blocks = cut(blocked.repartition("block").sortWithinPartitions("block", "vec_id").mapInArrow(build, kind))
-
-    # pairs of blocks that spheres around their centroids don't exclude; only summaries meet here
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    brief = blocks.select("block", "mid", "radius", "least", F.sqrt(dot(F.col("mid"), F.col("mid"))).alias("norm"))
-    q, t = brief.alias("q"), brief.alias("t")
-    bound = dot(F.col("q.mid"), F.col("t.mid")) + F.col("q.radius") * F.col("t.norm") + F.col("t.radius") * F.col("q.norm") + F.col("q.radius") * F.col("t.radius")
-    met_by = (F.col("q.block") < F.col("t.block")) & (bound + 1e-5 >= F.least("q.least", "t.least"))
-    pairs = q.crossJoin(t).where(met_by).select(F.col("q.block").alias("qb"), F.col("t.block").alias("tb"))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                two = []
-                for side in ("q", "t"):
-                    ids, x, floor = (b.column(f"{side}_{c}")[i].as_py() for c in ("ids", "x", "floor"))
-                    two.append((np.frombuffer(ids, np.int64), np.frombuffer(x, np.float32).reshape(-1, dims), np.frombuffer(floor, np.float64)))
-                for (q_ids, qx, floor), (ids, x, _) in (two, two[::-1]):
-                    for r, c, ip in search(q_ids, qx, ids, x, Codes(x, turn), turn, k, floor):
-                        if len(r):
-                            yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[c]), pa.array(ip)], names=["vec_id", "neighbour", "inner_product"])
-
-    side = lambda s: blocks.select(F.col("block").alias(f"{s}b"), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "x", "floor")])
-    met = pairs.join(side("q"), "qb").join(side("t"), "tb").drop("qb", "tb")
-    # a pair is much work and few bytes, so pairs are spread by number and not coalesced by size
-    other = met.repartition(max(parts(spark), -(-count // block_rows))).mapInArrow(visit, "vec_id bigint, neighbour bigint, inner_product double")
-    home = blocks.select(F.explode(F.arrays_zip("a", "b", "ip")).alias("z")).select(F.col("z.a").alias("vec_id"), F.col("z.b").alias("neighbour"), F.col("z.ip").alias("inner_product"))
+        def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            q_ids, q, bar, middle, turn = held.value
+            best = Best(q_ids, q, bar, k)
+            for b in batches:
+                cell = b.column("cell").to_numpy()
+                edges = np.flatnonzero(np.diff(cell)) + 1
+                for s, e in zip(np.append(0, edges), np.append(edges, len(cell))):
+                    if e > s:
+                        part = b.slice(s, e - s)
+                        bits = np.frombuffer(b"".join(part.column("code").to_pylist()), "<u8").reshape(e - s, -1)
+                        codes = Codes(bits, *(part.column(c).to_numpy() for c in ("scale", "spread", "shift", "norm")))
+                        best.visit(part.column("vec_id").to_numpy(), _matrix(part.column("v"), dims), codes, middle[cell[s]], turn, epsilon)
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.row]), pa.array(best.neighbour), pa.array(best.ip)], names=["vec_id", "neighbour", "inner_product"])
+
+        got = index.mapInArrow(look, "vec_id bigint, neighbour bigint, inner_product double")
+        found.append(cut(got) if waves > 1 else got)
+        if waves > 1:
+            held.destroy()
+    if not found:
+        return empty
     order = Window.partitionBy("vec_id").orderBy(F.desc("inner_product"), "neighbour")
-    ranked = home.unionByName(other).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # a query has at most k rows from each task
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("vec_id", "rank", "neighbour", "inner_product")
+
+
+def sql(k: int = K, every: int = EVERY) -> str:
+    """All inner products of the query rows, in DuckDB, over the view embeddings."""
+    return f"""
+        WITH own AS MATERIALIZED (SELECT vec_id, max(embedding)::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x)), true) GROUP BY vec_id),
+        same AS MATERIALIZED (SELECT * FROM own WHERE len(v) = (SELECT len(v) FROM own GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1)),
+        p AS (SELECT q.vec_id, t.vec_id AS neighbour, round(list_inner_product(q.v, t.v), 6) AS inner_product FROM same q JOIN same t ON q.vec_id <> t.vec_id WHERE q.vec_id % {every} = 0)
+        SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY inner_product DESC, neighbour) AS INTEGER) AS rank, neighbour, inner_product
+        FROM p QUALIFY rank <= {k}"""
