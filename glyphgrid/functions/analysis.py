@@ -1,30 +1,28 @@
-"""Analyzers as Column functions: text to ARRAY<STRUCT<term STRING, position INT>>.
+"""Analyzers: text to ARRAY<STRUCT<term STRING, position INT>>, in Arrow batches and on the driver.
 
-Everything runs inside the JVM.  Configuration is plain data that reads from and
-writes to JSON.
+Word boundaries of UAX #29 are beyond what the JVM's expressions know, so texts go
+to Python once, in batches, through the code that also analyses query texts.
+Lowercasing and folding change all words of a text in one pass.  Configuration is
+plain data that reads from and writes to JSON.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphgrid.functions.folding import fold, fold_text
+from glyphgrid.functions.folding import fold_text
+from glyphgrid.functions.words import words
 
-_SINGLE, _JOINED = r"\p{IsHan}\p{IsHiragana}", r"\p{IsKatakana}"
-_LETTER = rf"[\p{{L}}\p{{M}}\x{{30FC}}&&[^{_SINGLE}{_JOINED}]]"
-#: Unicode words: ideographs and hiragana one by one, katakana in runs, else letters,
-#: digits and underscores with the marks that may stand between them.
-WORD = rf"[{_SINGLE}]|[{_JOINED}\x{{30FC}}]+|(?:{_LETTER}+(?:['’.:·]{_LETTER}+)*|\p{{N}}+(?:[.,;'’]\p{{N}}+)*|_+)+"
-#: The same without the scripts that have rules of their own, for engines that lack class intersection.
+#: Words as engines with RE2 can find them: like words() for scripts without rules of their own, but for marks and rare signs.
 PLAIN_WORD = r"(?:[\p{L}\p{M}]+(?:['’.:·][\p{L}\p{M}]+)*|\p{N}+(?:[.,;'’]\p{N}+)*|_+)+"
-_VISIBLE = r"[\p{L}\p{N}]"
-_PY_LETTER = r"(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}ー])"
-_PY_WORD = regex.compile(rf"[\p{{Han}}\p{{Hiragana}}]|[\p{{Katakana}}ー]+|(?:{_PY_LETTER}+(?:['’.:·]{_PY_LETTER}+)*|\p{{N}}+(?:[.,;'’]\p{{N}}+)*|_+)+")
-_PY_VISIBLE = regex.compile(_VISIBLE)
+TOKENS = "array<struct<term:string,position:int>>"
 
 
 @dataclass(frozen=True)
@@ -35,28 +33,8 @@ class Grams:
     max_gram: int = 2
     edge: str | None = None
 
-    def of(self, word: Column) -> Column:
-        g = F.regexp_extract_all(word, F.lit(r"\X"), F.lit(0))
-        n, lo = F.size(g), max(self.min_gram, 1)
-        top = F.least(F.lit(self.max_gram), n)
-
-        def cut(start: Column, size: Column) -> Column:
-            return F.array_join(F.slice(g, start + 1, size), "")
-
-        none = F.array().cast("array<string>")
-        if self.max_gram == 0:
-            return none
-        if lo > self.max_gram:  # a range that is upside down gives its least size once
-            only = F.array(cut(F.lit(0) if self.edge != "back" else n - lo, F.lit(lo)))
-            return F.when(n >= lo, only).otherwise(none)
-        if self.edge:
-            some = F.transform(F.sequence(F.lit(lo), top), lambda s: cut(F.lit(0) if self.edge == "front" else n - s, s))
-        else:
-            some = F.flatten(F.transform(F.sequence(F.lit(0), n - lo), lambda i: F.transform(F.sequence(F.lit(lo), F.least(F.lit(self.max_gram), n - i)), lambda s: cut(i, s))))
-        return F.when(n >= lo, some).otherwise(none)
-
     def of_text(self, word: str) -> list[str]:
-        g = regex.findall(r"\X", word)
+        g = list(word) if word.isascii() else regex.findall(r"\X", word)
         n, lo = len(g), max(self.min_gram, 1)
         if self.max_gram == 0 or n < lo:
             return []
@@ -69,13 +47,8 @@ class Grams:
         return ["".join(g[i : i + s]) for i in range(n - lo + 1) for s in range(lo, min(self.max_gram, n - i) + 1)]
 
 
-def words(text: Column) -> Column:
-    """ARRAY<STRING> of the Unicode words of a text, in order."""
-    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: w.rlike(_VISIBLE))
-
-
-def words_of(text: str) -> list[str]:
-    return [w for w in _PY_WORD.findall(text) if _PY_VISIBLE.search(w)]
+#: Terms of a text, and their positions where these aren't 1, 2, 3 and so on.
+Tokens = tuple[list[str], list[int] | None]
 
 
 @dataclass(frozen=True)
@@ -85,17 +58,17 @@ class Tokenizer:
     kind: str = "standard"
     grams: Grams | None = None
 
-    def tokens(self, text: Column) -> Column:
-        found = words(text)
+    def split(self, text: str) -> Tokens:
+        found: Tokens = (words(text), None)
         if self.kind == "lowercase":
-            found = F.transform(found, F.lower)
-        if self.grams is None:
-            return F.transform(found, lambda w, i: F.struct(w.alias("term"), (i + 1).alias("position")))
-        return F.flatten(F.transform(found, lambda w, i: F.transform(self.grams.of(w), lambda g: F.struct(g.alias("term"), (i + 1).alias("position")))))
+            found = LOWERCASE.change(found)
+        return found if self.grams is None else TokenFilter("grams", self.grams).change(found)
+
+    def tokens(self, text: Column) -> Column:
+        return Analyzer(self).tokens(text)
 
     def tokens_of(self, text: str) -> list[tuple[str, int]]:
-        found = [(w.lower() if self.kind == "lowercase" else w, i + 1) for i, w in enumerate(words_of(text))]
-        return found if self.grams is None else [(g, p) for w, p in found for g in self.grams.of_text(w)]
+        return Analyzer(self).tokens_of(text)
 
 
 @dataclass(frozen=True)
@@ -105,16 +78,21 @@ class TokenFilter:
     kind: str
     grams: Grams | None = None
 
-    def apply(self, tokens: Column) -> Column:
-        if self.grams is not None:
-            return F.flatten(F.transform(tokens, lambda t: F.transform(self.grams.of(t["term"]), lambda g: F.struct(g.alias("term"), t["position"].alias("position")))))
-        change = F.lower if self.kind == "lowercase" else fold
-        return F.transform(tokens, lambda t: F.struct(change(t["term"]).alias("term"), t["position"].alias("position")))
-
-    def apply_to(self, tokens: list[tuple[str, int]]) -> list[tuple[str, int]]:
-        if self.grams is not None:
-            return [(g, p) for t, p in tokens for g in self.grams.of_text(t)]
-        return [(t.lower() if self.kind == "lowercase" else fold_text(t), p) for t, p in tokens]
+    def change(self, tokens: Tokens) -> Tokens:
+        terms, at = tokens
+        if not terms:
+            return tokens
+        if self.grams is None:
+            # no word holds a line break, so all are changed as one string
+            joined = "\n".join(terms)
+            return (joined.lower() if self.kind == "lowercase" else fold_text(joined)).split("\n"), at
+        out: list[str] = []
+        positions: list[int] = []
+        for i, t in enumerate(terms):
+            own = self.grams.of_text(t)
+            out += own
+            positions += [i + 1 if at is None else at[i]] * len(own)
+        return out, positions
 
 
 @dataclass(frozen=True)
@@ -122,25 +100,68 @@ class Analyzer:
     tokenizer: Tokenizer = Tokenizer()
     filters: tuple[TokenFilter, ...] = field(default=())
 
-    def tokens(self, text: Column) -> Column:
-        """The analysed text; null for a null text."""
-        out = self.tokenizer.tokens(text)
+    def split(self, text: str) -> Tokens:
+        out = self.tokenizer.split(text)
         for f in self.filters:
-            out = f.apply(out)
+            out = f.change(out)
         return out
 
+    def tokens(self, text: Column) -> Column:
+        """The analysed text; null for a null text."""
+        return _column(self.split)(text)
+
     def tokens_of(self, text: str) -> list[tuple[str, int]]:
         """The same for one string, on the driver: for query texts."""
-        out = self.tokenizer.tokens_of(text)
-        for f in self.filters:
-            out = f.apply_to(out)
-        return out
+        terms, at = self.split(text)
+        return list(zip(terms, range(1, len(terms) + 1) if at is None else at))
 
     @property
     def one_per_position(self) -> bool:
         return self.tokenizer.grams is None and all(f.grams is None for f in self.filters)
 
 
+def split_list(values: list[str | None], analyzer: Analyzer | None) -> Tokens:
+    """Tokens of the elements in order, positions going on from one to the next; null elements have none.
+
+    Without an analyzer each element is one token.
+    """
+    terms: list[str] = []
+    positions: list[int] = []
+    last = 0
+    for v in values:
+        if v is not None:
+            own, at = ([v], None) if analyzer is None else analyzer.split(v)
+            terms += own
+            positions += range(last + 1, last + 1 + len(own)) if at is None else [p + last for p in at]
+            last = positions[-1] if own else last
+    return terms, positions
+
+
+def list_tokens(values: Column, analyzer: Analyzer | None) -> Column:
+    """split_list() of an array<string> column."""
+    return _column(lambda x: split_list(x, analyzer))(values)
+
+
+def _column(split: Callable[..., Tokens]) -> Callable[[Column], Column]:
+    @F.arrow_udf(TOKENS)
+    def run(values: pa.Array) -> pa.Array:
+        offsets, terms, positions, null = [0], [], [], []
+        for x in values.to_pylist():
+            null.append(x is None)
+            if x is not None:
+                own, at = split(x)
+                terms += own
+                positions.append(np.arange(1, len(own) + 1, dtype=np.int32) if at is None else np.array(at, np.int32))
+            offsets.append(len(terms))
+        at = np.concatenate(positions) if positions else np.zeros(0, np.int32)
+        made = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(at, pa.int32())], ["term", "position"])
+        # from_arrays reads a null offset as a null list
+        starts = pa.array(offsets, pa.int32(), mask=np.array([*null, False]))
+        return pa.ListArray.from_arrays(starts, made)
+
+    return run
+
+
 STANDARD_TOKENIZER, LOWERCASE_TOKENIZER = Tokenizer("standard"), Tokenizer("lowercase")
 LOWERCASE, ASCII_FOLDING = TokenFilter("lowercase"), TokenFilter("asciifolding")
 STANDARD = Analyzer(STANDARD_TOKENIZER, (LOWERCASE, ASCII_FOLDING))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,23 +165,19 @@ def _table() -> dict[str, str]:
 
 
 TABLE = _table()
-_ONE = {c: out for c, out in TABLE.items() if len(out) == 1}
-_MANY: dict[str, str] = {}
-for _c, _out in TABLE.items():
-    if len(_out) != 1:
-        _MANY[_out] = _MANY.get(_out, "") + _c
+_FOLDED = re.compile("[" + "".join(re.escape(c) for c in TABLE) + "]")
 
 
 def fold_text(text: str) -> str:
-    return "".join(TABLE.get(c, c) for c in text)
+    """The text with what the table has replaced; in ASCII as it is."""
+    return text if text.isascii() else _FOLDED.sub(lambda m: TABLE[m[0]], text)
 
 
 def fold(text: Column) -> Column:
-    """ASCII-folds a string column; strings that are ASCII already pass through."""
-    out = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
-    many = "".join(c for chars in _MANY.values() for c in chars)
-    spread = out
-    for to, chars in _MANY.items():
-        spread = F.regexp_replace(spread, f"[{chars}]", to)
-    out = F.when(out.rlike(f"[{many}]"), spread).otherwise(out)
-    return F.when(text.rlike(r"[^\x00-\x7f]"), out).otherwise(text)
+    """fold_text() of a string column, in Arrow batches."""
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else fold_text(x) for x in values.to_pylist()], pa.string())
+
+    return run(text)

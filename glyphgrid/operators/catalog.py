@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glyphgrid.operators import search as searching
 from glyphgrid.operators.index import build
 from glyphgrid.plans.mapping import parse_index, parse_mapping
 from glyphgrid.plans.query import Query
 from glyphgrid.sources import documents
-from glyphgrid.sources.store import Files, Store
+from glyphgrid.sources.store import GRACE_SECONDS, Files, Store
+
+
+_ALIASES = "aliases.json"
 
 
 class NotFound(KeyError):
     pass
 
 
+def _last(rows: DataFrame, key: Column, order: Column, columns: Sequence[str]) -> DataFrame:
+    """Of the rows with one key the last by order, with these columns; hot keys are reduced before they meet."""
+    name = "_glyphgrid_row"
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return rows.groupBy(key.alias("_glyphgrid_key")).agg(F.max_by(whole, F.struct(order.isNotNull(), order)).alias(name)).select(f"{name}.*")
+
+
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder once, as several jobs read it."""
+    from glyphgrid.sources.shared import fresh
+
+    path = fresh(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 class Names:
     """Index names and aliases in one namespace."""
 
@@ -58,15 +77,22 @@ class Names:
 
 
 class Engine:
-    """A warehouse folder of indices.  Aliases last as long as the engine."""
+    """A warehouse folder of indices and aliases."""
 
     def __init__(self, spark: SparkSession, warehouse: str):
         self.spark, self.warehouse, self.names = spark, warehouse.rstrip("/"), Names()
         self.stores: dict[str, Store] = {}
-        for name in Files(spark, self.warehouse).folders():
-            if Files(spark, f"{self.warehouse}/{name}").exists("manifest.json"):
+        self.files = Files(spark, self.warehouse)
+        for name in self.files.folders():
+            if Store.is_one(spark, f"{self.warehouse}/{name}"):
                 self.stores[name] = Store.open(spark, f"{self.warehouse}/{name}")
                 self.names.add(name)
+        if self.files.exists(_ALIASES):
+            for alias, of in json.loads(self.files.read(_ALIASES)).items():
+                self.names.put_alias(alias, [i for i in of if i in self.stores])
+
+    def _keep_aliases(self) -> None:
+        self.files.replace(_ALIASES, json.dumps(self.names.aliases))
 
     def _store(self, name: str) -> Store:
         if name not in self.stores:
@@ -80,6 +106,9 @@ class Engine:
         if name not in self.stores:
             settings, mappings = parse_index(body or {})
             self.stores[name] = Store.create(self.spark, f"{self.warehouse}/{name}", settings, mappings)
+        if name in self.names.aliases:
+            self.names.add(name)
+            self._keep_aliases()
         self.names.add(name)
         return {"acknowledged": True}
 
@@ -90,6 +119,9 @@ class Engine:
     def delete_index(self, name: str) -> dict:
         self._store(name).files.remove()
         del self.stores[name]
+        if self.names.of(name):
+            self.names.remove(name)
+            self._keep_aliases()
         self.names.remove(name)
         return {"acknowledged": True}
 
@@ -103,9 +135,16 @@ class Engine:
         name, mapping = next(iter(body.items()))
         return {"acknowledged": self._store(index).put_mapping(name, parse_mapping(mapping))}
 
+    def remove_field(self, index: str, field: str) -> dict:
+        """Takes a field out of the index's mappings and searches."""
+        return {"acknowledged": self._store(index).remove_field(field)}
+
     def put_alias(self, alias: str, selector: str) -> dict:
         """The alias stands for the selector's indices; an unknown selector gives an empty one."""
-        return {"acknowledged": self.names.put_alias(alias, self.names.find(selector))}
+        done = self.names.put_alias(alias, self.names.find(selector))
+        if done:
+            self._keep_aliases()
+        return {"acknowledged": done}
 
     def get_alias(self, alias: str, index: str | None = None) -> dict:
         found = self.names.find(alias)
@@ -124,8 +163,9 @@ class Engine:
             raise NotFound(f"{index}/{kind}")
         return store, store.mappings[kind]
 
-    def put_document(self, index: str, kind: str, key: str, document: dict) -> dict:
-        if not document:
+    def put_document(self, index: str, kind: str, key: str, document: dict | None) -> dict:
+        """Adds or replaces a document; one without fields is a document too."""
+        if document is None:
             raise NotFound("No data")
         store, mapping = self._mapping(index, kind)
         rows = documents.rows(self.spark, [(key, document)], mapping)
@@ -148,34 +188,58 @@ class Engine:
     def upsert(self, index: str, kind: str, rows: DataFrame, key: str, seq: str | None = None) -> int:
         """Columns of a DataFrame as documents; of rows with one key the last by seq counts.  The new segment."""
         store, mapping = self._mapping(index, kind)
-        rank = "_glyphgrid_rank"
-        order = [F.col(f"`{seq}`").desc_nulls_last()] if seq else [F.lit(0)]
-        last = rows.where(F.col(f"`{key}`").isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(F.col(f"`{key}`").cast("string")).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
-        return store.append(build(last.drop(seq) if seq else last, mapping, key, store.settings))
+        own = rows.where(F.col(f"`{key}`").isNotNull())
+        order = F.col(f"`{seq}`") if seq else F.lit(0)
+        return store.append(build(_last(own, F.col(f"`{key}`").cast("string"), order, [c for c in rows.columns if c != seq]), mapping, key, store.settings))
 
     def bulk(self, bodies: DataFrame, index: str | None = None) -> dict:
-        """Bulk bodies (value[, request]); a segment for each index and mapping instead of one for each document.
+        """Bulk bodies (value[, request]): {"took": number of actions, "errors": whether any failed, "items": DataFrame}.
 
-        Counts of what was taken come back, not the actions themselves.
+        items has a row (request, line, index, type, id, status, error) for each
+        action: created, or why it failed.  One that fails leaves the others as
+        they are.  Of one key the last valid action counts.  A segment is written
+        for each index and mapping instead of one for each document.
         """
-        found = documents.bulk(bodies, index)
-        groups = found.groupBy("index", "type").count().collect()
+        found = _written(self.spark, documents.bulk(bodies, index), "bulk")
+        groups = found.where("error IS NULL").groupBy("index", "type").count().collect()
+        items = [found.where("error IS NOT NULL").drop("document")]
         for g in groups:
-            store, mapping = self._mapping(g["index"], g["type"])
-            own = found.where((F.col("index") == g["index"]) & (F.col("type") == g["type"]))
-            last = own.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).where("r = 1")
-            store.append(build(documents.parse_documents(last, mapping), mapping, documents.KEY, store.settings))
-        return {"took": sum(g["count"] for g in groups), "items": [{"create": {"_index": g["index"], "_type": g["type"], "count": g["count"]}} for g in groups]}
+            own = found.where((F.col("index") == g["index"]) & (F.col("type") == g["type"]) & F.col("error").isNull())
+            try:
+                store, mapping = self._mapping(g["index"], g["type"])
+            except NotFound as e:
+                items.append(own.drop("document").withColumn("error", F.lit(f"NotFound: {e.args[0]}")))
+                continue
+            parsed = _written(self.spark, documents.parse_documents(own.select("request", "line", "id", "document"), mapping, strict=False), "bulk")
+            row = [c for c in parsed.columns if c not in ("request", "line", documents.ERROR)]
+            good = parsed.where(F.col(documents.ERROR).isNull())
+            if not good.isEmpty():
+                last = _last(good, F.col(documents.KEY), F.struct("request", "line"), row)
+                store.append(build(last, mapping, documents.KEY, store.settings))
+            items.append(parsed.select("request", "line", F.lit(g["index"]).alias("index"), F.lit(g["type"]).alias("type"), F.col(documents.KEY).alias("id"), F.col(documents.ERROR).alias("error")))
+        all_ = reduce(DataFrame.unionByName, items).select("request", "line", "index", "type", "id", F.when(F.col("error").isNull(), "created").otherwise("failed").alias("status"), "error")
+        n = all_.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).first()
+        return {"took": n["n"], "errors": n["bad"] > 0, "items": all_}
+
+    def bulk_request(self, body: str, index: str | None = None) -> dict:
+        """One body, as a request brings it: {"took": n, "errors": ..., "items": [{"create": {"_index", "_type", "_id"[, "error"]}}]} in order."""
+        out = self.bulk(self.spark.createDataFrame([(body,)], "value string"), index)
+        rows = out["items"].orderBy("line").collect()
+        return out | {"items": [{"create": {"_index": r["index"], "_type": r["type"], "_id": r["id"]} | ({"error": r["error"]} if r["error"] else {})} for r in rows]}
 
     def optimize(self, index: str) -> None:
         self._store(index).optimize()
 
-    def maintain(self) -> list[str]:
-        """Optimizes the indices whose segments have become many; their names."""
-        due = [n for n, s in sorted(self.stores.items()) if s.due()]
-        for n in due:
-            self.optimize(n)
-        return due
+    def maintain(self, grace: float = GRACE_SECONDS) -> list[str]:
+        """Merges each index's tier of segments that has become full, and removes what earlier merges replaced; the names of those merged."""
+        done = []
+        for name, store in sorted(self.stores.items()):
+            store.reload()
+            if tier := store.due():
+                store.merge(tier)
+                done.append(name)
+            store.purge(grace)
+        return done
 
     # queries
 

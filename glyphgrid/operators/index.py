@@ -1,21 +1,28 @@
 """Building the inverted index: documents to docs, lengths and postings tables.
 
     docs      doc_key, the stored fields
-    lengths   doc_key, field, n_tokens           a row for each field a document has
-    postings  field, term, doc_key, tf, len_code clustered by field and term
+    vectors   doc_key, field, n_tokens, terms, tfs  a row for each field a document has
+    lengths   doc_key, field, n_tokens              the same without terms
+    postings  field, term, doc_key, tf, len_code    clustered by field and term
+
+A document's terms are counted where it is analysed, so no shuffle groups them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphgrid.functions import terms
-from glyphgrid.functions.analysis import STANDARD, Analyzer
+from glyphgrid.functions.analysis import STANDARD, Analyzer, Tokens, list_tokens, split_list
 from glyphgrid.functions.similarity import length_code
 from glyphgrid.plans.mapping import ALL, Field, Mapping, Settings
 
@@ -38,37 +45,32 @@ def _text_tokens(value: Column, analyzer: Analyzer | None) -> Column:
     return _one(terms.text_term(value)) if analyzer is None else _as_terms(analyzer.tokens(value))
 
 
-def _array_tokens(values: Column, analyzer: Analyzer | None) -> Column:
-    """Tokens of the elements in order, positions going on from one to the next; null elements have none."""
-    each = F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: _text_tokens(v, analyzer))
-    empty = F.struct(F.array().cast(TOKENS).alias("out"), F.lit(0).alias("last"))
-
-    def add(state: Column, tokens: Column) -> Column:
-        moved = F.transform(tokens, lambda t: F.struct(t["term"].alias("term"), (t["position"] + state["last"]).cast("int").alias("position")))
-        last = F.when(F.size(moved) > 0, F.element_at(moved, -1)["position"]).otherwise(state["last"])
-        return F.struct(F.concat(state["out"], moved).alias("out"), last.cast("int").alias("last"))
-
-    return F.aggregate(each, empty, add, lambda s: s["out"])
-
-
 def value_tokens(name: str, f: Field, kind: T.DataType, settings: Settings) -> Column:
     """What a column is indexed as; null where it is null, which is a missing field."""
     value, analyzer = F.col(f"`{name}`"), f.use(settings, "index")
     if f.type == "string":
         if isinstance(kind, T.ArrayType):
-            out = _array_tokens(value.cast("array<string>"), analyzer)
+            out = _as_terms(list_tokens(value.cast("array<string>"), analyzer))
         else:
             out = _text_tokens(value.cast("string"), analyzer)
-    elif f.type == "integer":
-        out = _one(terms.integer_term(value))
-    elif f.type == "boolean":
-        flag = value if isinstance(kind, T.BooleanType) else value.cast("string").isin("yes") if isinstance(kind, T.StringType) else F.lit(False)
-        out = _one(terms.boolean_term(flag))
     else:
-        out = _one(terms.instant_term(value))
+        out = _one(exact_term(name, f, kind))
     return F.when(value.isNotNull(), out)
 
 
+def exact_term(name: str, f: Field, kind: T.DataType) -> Column:
+    """The one term of a value that isn't analysed."""
+    value = F.col(f"`{name}`")
+    if f.type == "string":
+        return terms.text_term(value.cast("string"))
+    if f.type == "integer":
+        return terms.integer_term(value)
+    if f.type == "boolean":
+        flag = value if isinstance(kind, T.BooleanType) else value.cast("string").isin("yes") if isinstance(kind, T.StringType) else F.lit(False)
+        return terms.boolean_term(flag)
+    return terms.instant_term(value)
+
+
 def stored_value(name: str, f: Field, kind: T.DataType) -> Column:
     value = F.col(f"`{name}`")
     if f.type == "string" and isinstance(kind, T.ArrayType):
@@ -105,6 +107,7 @@ class Index:
     postings: DataFrame
     mapping: Mapping
     settings: Settings = field(default_factory=Settings)
+    vectors: DataFrame | None = None
 
     @cached_property
     def field_stats(self) -> DataFrame:
@@ -139,6 +142,119 @@ def analyse(docs: DataFrame, mapping: Mapping, key: str, settings: Settings | No
     return docs.select(F.col(f"`{key}`").cast("string").alias("doc_key"), F.explode(rows).alias("r")).select("doc_key", "r.field", "r.tokens").where("tokens IS NOT NULL")
 
 
+VECTORS = "doc_key string, field string, n_tokens bigint, terms array<binary>, tfs array<int>"
+_ROWS = 1000
+
+
+def count_tokens(tokens: Tokens) -> tuple[int, list[str], list[int]]:
+    """(length, terms, their frequencies); a frequency counts distinct positions."""
+    found, at = tokens
+    if at is None:
+        count = Counter(found)
+        return len(found), list(count), list(count.values())
+    count = Counter(t for t, _ in dict.fromkeys(zip(found, at)))
+    return sum(count.values()), list(count), list(count.values())
+
+
+def vectors(docs: DataFrame, mapping: Mapping, key: str, settings: Settings | None = None) -> DataFrame:
+    """(doc_key, field, n_tokens, terms, tfs): analyse() with its tokens counted, in one pass over the documents.
+
+    What _all has of fields that the standard analyzer analyses is taken from these.
+    """
+    settings = settings or Settings()
+    check(docs, mapping, key)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    columns: list[Column] = [F.col(f"`{key}`").cast("string").alias("k")]
+    plan: list[tuple[str, str, Analyzer | None]] = []
+    place: dict[str, int] = {}
+    for n, f in sorted(mapping.fields.items()):
+        if not f.indexed or n not in kinds:
+            continue
+        analyzer = f.use(settings, "index")
+        if f.type == "string" and isinstance(kinds[n], T.ArrayType):
+            plan.append((n, "list", analyzer))
+            columns.append(F.col(f"`{n}`").cast("array<string>"))
+        elif f.type == "string" and analyzer is not None:
+            plan.append((n, "text", analyzer))
+            columns.append(F.col(f"`{n}`").cast("string"))
+            place[n] = len(plan)
+        else:
+            plan.append((n, "term", None))
+            columns.append(F.when(F.col(f"`{n}`").isNotNull(), exact_term(n, f, kinds[n])))
+    parts: list[int] = []
+    if ALL not in mapping.fields:
+        own = [ALL] if ALL in kinds else [n for n, f in sorted(mapping.fields.items()) if f.indexed and f.in_all and isinstance(kinds.get(n), T.StringType)]
+        for n in own:
+            if n not in place:
+                place[n] = len(columns)
+                columns.append(F.col(f"`{n}`"))
+            parts.append(place[n])
+    every = ALL not in mapping.fields
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                yield counted(batch.slice(at, _ROWS))
+
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+        values = [b.column(i).to_pylist() for i in range(b.num_columns)]
+        key_, field_, length, offsets, terms_, tfs = [], [], [], [0], [], []
+
+        def add(k: str, name: str, tokens: Tokens) -> None:
+            n, t, c = count_tokens(tokens)
+            key_.append(k)
+            field_.append(name)
+            length.append(n)
+            terms_.extend(x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x for x in t)
+            tfs.extend(c)
+            offsets.append(len(terms_))
+
+        for row, k in enumerate(values[0]):
+            seen: dict[int, Tokens] = {}
+            for i, (name, how, analyzer) in enumerate(plan, 1):
+                v = values[i][row]
+                if v is None:
+                    continue
+                if how == "text":
+                    tokens = analyzer.split(v)
+                    if analyzer == STANDARD:
+                        seen[i] = tokens
+                else:
+                    tokens = split_list(v, analyzer) if how == "list" else ([v], None)
+                add(k, name, tokens)
+            if every:
+                texts = [(i, values[i][row]) for i in parts if values[i][row] is not None]
+                # a mark that a text begins with would go with the blank before it
+                if any(t and not t[0].isalnum() and not t[0].isascii() for _, t in texts[1:]):
+                    all_ = STANDARD.split(" ".join(t for _, t in texts))[0]
+                else:
+                    all_ = [w for i, t in texts for w in (seen[i] if i in seen else STANDARD.split(t))[0]]
+                add(k, ALL, (all_, None))
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, kind))
+        return pa.RecordBatch.from_arrays([pa.array(key_, pa.string()), pa.array(field_, pa.string()), pa.array(length, pa.int64()), lists(terms_, pa.binary()), lists(np.array(tfs, np.int32), pa.int32())], names=["doc_key", "field", "n_tokens", "terms", "tfs"])
+
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, VECTORS)
+
+
+def lengths_of(found: DataFrame) -> DataFrame:
+    """(doc_key, field, n_tokens) of vectors, and their other columns but terms and tfs."""
+    return found.drop("terms", "tfs")
+
+
+def postings_of(found: DataFrame) -> DataFrame:
+    """(field, term, doc_key, tf, len_code) of vectors, and their other columns."""
+    more = [c for c in found.columns if c not in ("doc_key", "field", "n_tokens", "terms", "tfs")]
+    spread = found.select("doc_key", "field", "n_tokens", *more, F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    return spread.select("field", F.col("t.terms").alias("term"), "doc_key", F.col("t.tfs").alias("tf"), length_code(F.col("n_tokens")).alias("len_code"), *more)
+
+
+def stored_columns(docs: DataFrame, mapping: Mapping, key: str) -> DataFrame:
+    kinds = {f.name: f.dataType for f in docs.schema}
+    stored = [stored_value(n, f, kinds[n]).alias(n) for n, f in mapping.fields.items() if f.stored and n in kinds]
+    kept = [F.col(f"`{n}`") for n in mapping.nested if n in kinds]
+    return docs.select(F.col(f"`{key}`").cast("string").alias("doc_key"), *stored, *kept)
+
+
 def build(docs: DataFrame, mapping: Mapping, key: str, settings: Settings | None = None) -> Index:
     """The index of docs, whose column key is unique and tells documents apart.
 
@@ -146,19 +262,5 @@ def build(docs: DataFrame, mapping: Mapping, key: str, settings: Settings | None
     a word has twice counts once.
     """
     settings = settings or Settings()
-    fields = analyse(docs, mapping, key, settings)
-    distinct = all(a is None or a.one_per_position for n, f in mapping.fields.items() if f.indexed for a in [f.use(settings, "index")])
-    if distinct:
-        lengths = fields.select("doc_key", "field", F.size("tokens").cast("bigint").alias("n_tokens"))
-        with_length = fields.select("doc_key", "field", "tokens", length_code(F.size("tokens")).alias("len_code"))
-        spread = with_length.select("field", F.explode("tokens").alias("t"), "doc_key", "len_code")
-        postings = spread.groupBy("field", F.col("t.term").alias("term"), "doc_key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len_code").alias("len_code"))
-    else:
-        tf = fields.select("field", "doc_key", F.explode("tokens").alias("t")).groupBy("field", "doc_key", F.col("t.term").alias("term")).agg(F.countDistinct("t.position").cast("int").alias("tf"))
-        found = tf.groupBy("doc_key", "field").agg(F.sum("tf").alias("n"))
-        lengths = fields.select("doc_key", "field").join(found, ["doc_key", "field"], "left").select("doc_key", "field", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_tokens"))
-        postings = tf.join(lengths, ["doc_key", "field"]).select("field", "term", "doc_key", "tf", length_code(F.col("n_tokens")).alias("len_code"))
-    kinds = {f.name: f.dataType for f in docs.schema}
-    stored = [stored_value(n, f, kinds[n]).alias(n) for n, f in mapping.fields.items() if f.stored and n in kinds]
-    kept = [F.col(f"`{n}`") for n in mapping.nested if n in kinds]
-    return Index(docs.select(F.col(f"`{key}`").cast("string").alias("doc_key"), *stored, *kept), lengths, postings, mapping, settings)
+    found = vectors(docs, mapping, key, settings)
+    return Index(stored_columns(docs, mapping, key), lengths_of(found), postings_of(found), mapping, settings, found)

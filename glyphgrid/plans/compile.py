@@ -13,11 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.functions.terms import begins_with, literal
+from glyphgrid.functions.terms import after, begins_with, literal
 from glyphgrid.operators.index import Index
 from glyphgrid.plans.query import All, Conjunction, Disjunction, DisMax, Exclude, Filter, Nothing, Prefix, Query, Term
 
-#: Beyond so many leaves they are joined as a table instead of written into the filter.
+#: Beyond so many leaves they are joined as a table instead of written into the filter; results are the same.
 INLINE_LEAVES = 48
 
 
@@ -27,20 +27,20 @@ class Unsupported(ValueError):
 
 @dataclass(frozen=True)
 class Bundle(Query):
-    """A long list of terms, of which a document's matches are counted and their scores summed in the grouping."""
+    """A long list of terms, or a prefix, of which a document's matches are counted and their scores summed in the grouping."""
 
     number: int
-    terms: tuple[Term, ...]
+    terms: tuple[Term | Prefix, ...]
     least: int
 
 
 def bundled(q: Query, found: list[Bundle]) -> Query:
-    """The tree with every term in a bundle: each list of terms in one of its own, each other term too."""
+    """The tree with every leaf in a bundle: each list of terms in one of its own, each other term and prefix too."""
     if isinstance(q, (Conjunction, Disjunction)) and q.queries and all(isinstance(x, Term) for x in q.queries):
         distinct = len({leaf_key(x) for x in q.queries})
         found.append(Bundle(len(found), q.queries, distinct if isinstance(q, Conjunction) else 1))
         return found[-1]
-    if isinstance(q, Term):
+    if isinstance(q, (Term, Prefix)):
         found.append(Bundle(len(found), (q,), 1))
         return found[-1]
     if isinstance(q, (Conjunction, Disjunction, DisMax)):
@@ -142,9 +142,10 @@ def _scored_postings(index: Index, wanted: Column, by: dict[tuple, bool]) -> Dat
     found = index.postings.where(wanted)
     if not any(by.values()):
         return found
-    # a row a field
-    stats = F.broadcast(index.field_stats)
-    return found.join(index.term_stats.where(wanted), ["field", "term"]).join(stats, "field")
+    terms = index.term_stats.where(wanted)
+    # a row for each term that the query names, and one for each field
+    terms = F.broadcast(terms) if all(k[0] == "term" for k in by) else terms
+    return found.join(terms, ["field", "term"]).join(F.broadcast(index.field_stats), "field")
 
 
 def matches(index: Index, query: Query, scored: bool = True, prefix_within_field: bool = False) -> DataFrame:
@@ -166,7 +167,7 @@ def matches(index: Index, query: Query, scored: bool = True, prefix_within_field
     else:
         bundles: list[Bundle] = []
         query = bundled(query, bundles)
-        hits = _joined(index, keys, bundles, scored)
+        hits = _joined(index, keys, bundles, any(by.values()), prefix_within_field)
     if whole:
         hits = index.docs.select("doc_key").join(hits, "doc_key", "left")
     found = hits.where(match_column(query, columns))
@@ -194,6 +195,10 @@ def _inline(index: Index, by: dict[tuple, bool], within: bool) -> DataFrame:
     for i, k in enumerate(by):
         value = F.when(_is(k), _leaf_score(k) if by[k] else F.lit(0.0))
         made.append((F.sum(value) if k[0] == "prefix" else F.max(value)).alias(f"s{i}"))
+    if len(by) == 1 and next(iter(by))[0] == "term":
+        # a document has a term's posting once, so nothing is grouped or shuffled
+        (key, used) = next(iter(by.items()))
+        return found.select("doc_key", (_leaf_score(key) if used else F.lit(0.0)).alias("s0"))
     hits = found.groupBy("doc_key").agg(*made)
     counts = _counts(index, by, within)
     if counts is not None:
@@ -202,23 +207,44 @@ def _inline(index: Index, by: dict[tuple, bool], within: bool) -> DataFrame:
     return hits
 
 
-def _joined(index: Index, keys: list[tuple], bundles: list[Bundle], scored: bool) -> DataFrame:
-    """The same for many leaves: they meet the postings in an equi-join and are counted and summed by bundle."""
-    if any(k[0] == "prefix" for k in keys) or len({k[3] for k in keys}) > 1:
-        raise Unsupported(f"more than {INLINE_LEAVES} leaves with prefixes or several similarities among them")
+def _joined(index: Index, keys: list[tuple], bundles: list[Bundle], scored: bool, within: bool) -> DataFrame:
+    """The same for many leaves: they meet the postings in an equi-join and are counted and summed by bundle.
+
+    Prefixes meet the index's terms first, cut to the lengths that the query has,
+    and go on as these terms.
+    """
+    spark = index.postings.sparkSession
+    kinds = list(dict.fromkeys(k[3] for k in keys))
     weight: dict[tuple, float] = {}
     for b in bundles:
         for t in b.terms:  # a term that a list has twice scores twice and is found once
-            key = (b.number, t.field, t.term)
+            kind, field, value, how = leaf_key(t)
+            key = (b.number, kind, field, value, kinds.index(how))
             weight[key] = weight.get(key, 0.0) + t.scorer.boost
-    rows = [(n, field, bytearray(term), w) for (n, field, term), w in weight.items()]
-    table = index.postings.sparkSession.createDataFrame(rows, "bundle int, field string, term binary, weight double")
+    columns = "bundle int, field string, term binary, how int, weight double"
+    rows = {kind: [(n, field, bytearray(value), how, w) for (n, k, field, value, how), w in weight.items() if k == kind] for kind in ("term", "prefix")}
     # as long as the query's own text
-    found = index.postings.join(F.broadcast(table), ["field", "term"])
+    leaf = F.broadcast(spark.createDataFrame(rows["term"], columns))
+    spans: dict[str, tuple[bytes, bytes | None]] = {}
+    for kind, field, value, _ in keys:
+        low, top = spans.get(field, (value, value))
+        last = value if kind == "term" else after(value)
+        spans[field] = (min(low, value), None if last is None or top is None else max(top, last))
+    # a span of each field's terms reaches the scan, for lists whose terms are near each other
+    inside = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") >= literal(low)) & (F.lit(True) if top is None else F.col("term") <= literal(top)) for f, (low, top) in spans.items()])
+    postings = index.postings.where(inside)
+    found = postings.join(leaf, ["field", "term"])
+    if rows["prefix"]:
+        prefix = F.broadcast(spark.createDataFrame(rows["prefix"], columns).withColumnRenamed("term", "start").withColumnRenamed("field", "of"))
+        lengths = F.array(*[F.lit(n) for n in sorted({len(r[2]) for r in rows["prefix"]})])
+        cut = index.term_stats.select("field", "term", F.explode(lengths).alias("n")).where(F.octet_length("term") >= F.col("n")).withColumn("start", F.substring("term", F.lit(1), F.col("n")))
+        met = cut.join(prefix, "start")
+        per = (met.where("field = of") if within else met).groupBy("bundle").agg(F.countDistinct("term").alias("count"))
+        selected = met.where("field = of").join(F.broadcast(per), "bundle").select("bundle", "field", "term", "how", (F.col("weight") / F.col("count")).alias("weight"))
+        found = found.unionByName(postings.join(selected, ["field", "term"]))
     score = F.lit(0.0)
     if scored:
-        stats = index.term_stats.join(F.broadcast(table.select("field", "term").distinct()), ["field", "term"], "left_semi")
-        found = found.join(stats, ["field", "term"]).join(F.broadcast(index.field_stats), "field")
-        score = _leaf_score(keys[0]) * F.col("weight")
+        found = found.join(index.term_stats.where(inside), ["field", "term"]).join(F.broadcast(index.field_stats), "field")
+        score = reduce(lambda a, i: F.when(F.col("how") == i, _leaf_score((None, None, None, kinds[i]))).otherwise(a), range(len(kinds)), F.lit(0.0)) * F.col("weight")
     per = found.groupBy("doc_key", "bundle").agg(F.count(F.lit(1)).alias("c"), F.sum(score).alias("s"))
     return per.groupBy("doc_key").agg(*[F.max(F.when(F.col("bundle") == b.number, F.col(x))).alias(f"{x}{b.number}") for b in bundles for x in "cs"])

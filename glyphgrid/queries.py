@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -168,10 +169,10 @@ class _Sql:
                 out.append(f"{name} AS (SELECT k, sum({score}) / (SELECT count(DISTINCT term) FROM ts WHERE starts_with(term, '{text}')) AS score FROM s WHERE field = '{field}' AND starts_with(term, '{text}') GROUP BY k)")
         return ",\n".join(out)
 
-    def query(self, q: Query, scored: bool = True) -> str:
+    def query(self, q: Query, scored: bool = True, digits: int | None = 6) -> str:
         where, score = self.match(q), self.score(q) if scored else None
         joins = "".join(f" LEFT JOIN {n} ON {n}.k = docs.k" for n in self.leaves.values())
-        got = f"docs.k AS {self.table.key if self.table.name != 'turns' else 'key'}" + (f", round({score}, 6) AS score" if scored else "")
+        got = f"docs.k AS {self.table.key if self.table.name != 'turns' else 'key'}" + (f", {score if digits is None else f'round({score}, {digits})'} AS score" if scored else "")
         return f"WITH {self.ctes()}\nSELECT {got} FROM docs{joins} WHERE {where}"
 
 
@@ -255,21 +256,16 @@ _TOP = {"match": {"text": "the and of thin"}}
 
 def _page(from_: int, size: int, fields: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = index(spark, sf_dir)
-        # rounded first, so that ties are ties in either engine
-        found = matches(own, search.read(own, _TOP)).select(F.col("doc_key").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"))
-        top = found.orderBy(F.desc("score"), "doc_id").offset(from_).limit(size)
-        if not fields:
-            return top
-        stored = own.docs.select(F.col("doc_key").cast("bigint").alias("doc_id"), *fields)
-        return top.join(stored, "doc_id")
+        page = search.search(index(spark, sf_dir), _TOP, from_, size, fields)
+        return page.select(F.col("doc_key").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"), *fields)
 
     return run
 
 
 def _page_sql(from_: int, size: int, fields: tuple[str, ...] = ()) -> str:
-    inner = _Sql(TABLES["documents"]).query(Parser(TABLES["documents"].mapping.searchable(Settings())).parse(_TOP))
-    top = f"SELECT doc_id, score FROM ({inner}) ORDER BY score DESC, doc_id LIMIT {size} OFFSET {from_}"
+    """Ties go to the lesser key, which is text."""
+    inner = _Sql(TABLES["documents"]).query(Parser(TABLES["documents"].mapping.searchable(Settings())).parse(_TOP), digits=None)
+    top = f"SELECT doc_id, round(score, 6) AS score FROM ({inner}) ORDER BY round(score, 12) DESC, CAST(doc_id AS VARCHAR) LIMIT {size} OFFSET {from_}"
     return top if not fields else f"SELECT t.doc_id, t.score, {', '.join('d.' + f for f in fields)} FROM ({top}) t JOIN documents d ON d.doc_id = t.doc_id"
 
 
@@ -290,11 +286,13 @@ _GRAM_SQL = {
 
 def _token_counts(tokens: Callable[[Column], Column], table: str, column: str, df: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = read(spark, sf_dir, table)
         key = {"documents": "doc_id", "part": "p_partkey"}[table]
+        # the test tables have one row group, which would be analysed in one task
+        rows = read(spark, sf_dir, table).select(key, column).repartition(spark.sparkContext.defaultParallelism)
         found = rows.select(F.col(key).alias("k"), F.explode(F.transform(tokens(F.col(column)), lambda t: t["term"])).alias("term"))
-        own = found.groupBy("term", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("df"))
-        return own if df else own.select("term", "n")
+        if not df:
+            return found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        return found.groupBy("term", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("df"))
 
     return run
 
@@ -326,17 +324,23 @@ _add("token_positions", _positions, f"SELECT p_partkey, {FOLDED} AS term, positi
 
 # the index itself
 
-_FIELDS = set(TABLES["documents"].sql) - {"n_chars"}
-_ALL_FIELDS = index_sql(TABLES["documents"], _FIELDS)
+_ALL_FIELDS = index_sql(TABLES["documents"], set(TABLES["documents"].sql))
+
+
+def _shown(term: Column) -> Column:
+    """Terms of numbers as the SQL writes them, others as text."""
+    h = F.hex(term)
+    number = F.conv(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]), 16, 10)
+    return F.when(F.col("field") == "n_chars", F.concat(F.lit("i:"), number)).otherwise(term.cast("string"))
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).postings.where("field <> 'n_chars'").select("field", F.col("term").cast("string").alias("term"), F.col("doc_key").cast("bigint").alias("doc_id"), F.col("tf").cast("bigint").alias("tf"), F.col("len_code").cast("bigint").alias("len_code"))
+    return index(spark, sf_dir).postings.select("field", _shown(F.col("term")).alias("term"), F.col("doc_key").cast("bigint").alias("doc_id"), F.col("tf").cast("bigint").alias("tf"), F.col("len_code").cast("bigint").alias("len_code"))
 
 
 _CODE = "CAST(greatest(0, least(255, floor((sqrt(n::DOUBLE) - 1) * 3))) AS BIGINT)"
 _add("postings", _postings, f"WITH {_ALL_FIELDS} SELECT field, term, k AS doc_id, tf, {_CODE} AS len_code FROM p")
-_add("term_stats", lambda spark, sf_dir: index(spark, sf_dir).term_stats.where("field <> 'n_chars'").select("field", F.col("term").cast("string").alias("term"), "df"), f"WITH {_ALL_FIELDS} SELECT field, term, df FROM ts")
+_add("term_stats", lambda spark, sf_dir: index(spark, sf_dir).term_stats.select("field", _shown(F.col("term")).alias("term"), "df"), f"WITH {_ALL_FIELDS} SELECT field, term, df FROM ts")
 _add("field_stats", lambda spark, sf_dir: index(spark, sf_dir).field_stats, f"WITH {index_sql(TABLES['documents'], set(TABLES['documents'].sql))} SELECT field, n_docs, CAST(n_tokens AS BIGINT) AS n_tokens FROM fs")
 _add("field_length_codes", lambda spark, sf_dir: index(spark, sf_dir).postings.where("field = 'text'").groupBy("doc_key").agg(F.first("len_code").cast("bigint").alias("len_code")).select(F.col("doc_key").cast("bigint").alias("doc_id"), "len_code"), f"WITH {index_sql(TABLES['documents'], {'text'})} SELECT k AS doc_id, any_value({_CODE}) AS len_code FROM p GROUP BY k")
 
@@ -367,6 +371,7 @@ _set("set_intersect", lambda i, a, b: sets.both(a, b), "a AND b")
 _set("set_union", lambda i, a, b: sets.either(a, b), "a OR b")
 _set("set_difference", lambda i, a, b: sets.without(a, b), "a AND NOT b")
 _set("set_complement", lambda i, a, b: sets.complement(i, a), "NOT a")
+_set("set_fold", lambda i, a, b: sets.fold(i, "or", [sets.fold(i, "and", [a, b, sets.complement(i, sets.fold(i, "or", []))]), sets.without(b, a), b]), "b")
 
 
 # documents in and out
@@ -424,29 +429,187 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("segment_stats", _segments, f"SELECT 1::BIGINT AS segment, count(*) AS total_docs, count(*) FILTER ({_TOXIC} OR {_LOW}) AS deleted_docs FROM documents UNION ALL SELECT 2, count(*) FILTER ({_TOXIC}), count(*) FILTER ({_TOXIC} AND {_LOW}) FROM documents")
 
 
+def _updated(spark: SparkSession, sf_dir: str) -> Index:
+    """What a store tells of documents that were put again and deleted, without any merge."""
+    engine, again, gone = _changed(spark, sf_dir)
+    engine.upsert("documents", "doc", again, "doc_id")
+    engine.stores["documents"].delete(gone)
+    return engine.stores["documents"].index()
+
+
+_add("store_field_stats", lambda spark, sf_dir: _updated(spark, sf_dir).field_stats.where("field = 'text'"), f"WITH {index_sql(_AFTER, {'text'})} SELECT field, n_docs, CAST(n_tokens AS BIGINT) AS n_tokens FROM fs")
+_add("store_term_stats", lambda spark, sf_dir: _updated(spark, sf_dir).term_stats.where("field = 'text'").select("field", F.col("term").cast("string").alias("term"), "df"), f"WITH {index_sql(_AFTER, {'text'})} SELECT field, term, df FROM ts")
+
+
+def _store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _updated(spark, sf_dir)
+    return matches(own, search.read(own, {"match": {"text": "withdrawn the"}})).select(F.col("doc_key").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_add("store_search", _store_search, ORACLE["optimize_search"])
+
+
+def _maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments after a tier of three small ones was merged beside the large one."""
+    engine, again, gone = _changed(spark, sf_dir)
+    few = again.orderBy("doc_id").limit(9)
+    for i in range(3):
+        engine.upsert("documents", "doc", few.where(F.pmod("doc_id", F.lit(3)) == i), "doc_id")
+    engine.maintain()
+    return engine.stores["documents"].segment_stats()
+
+
+_add("merge_full_tier", _maintained, f"WITH few AS (SELECT doc_id FROM documents WHERE {_TOXIC} ORDER BY doc_id LIMIT 9) SELECT 1::BIGINT AS segment, count(*) AS total_docs, count(*) FILTER (doc_id IN (SELECT doc_id FROM few)) AS deleted_docs FROM documents UNION ALL SELECT 5, count(*), 0 FROM few")
+
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Indices of documents and conversations and an alias of both, made once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENGINES:
+        made = Engine(spark, fresh(spark, "engine"))
+        for name in ("documents", "turns"):
+            made.create_index(name, {"mappings": {"doc": {"properties": TABLES[name].properties}}})
+            made.upsert(name, "doc", _rows(spark, sf_dir, TABLES[name]).repartition(spark.sparkContext.defaultParallelism), TABLES[name].key)
+        made.names.put_alias("both", ["documents", "turns"])
+        _ENGINES[key] = made
+    return _ENGINES[key]
+
+
+_BOTH = {"match": {"text": "the thin"}}
+
+
 def _alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query over two indices; scores are by each one's own statistics."""
-    query, out = {"match": {"text": "the thin"}}, None
-    for name in ("documents", "turns"):
-        own = index(spark, sf_dir, name)
-        one = matches(own, search.read(own, query)).select(F.lit(name).alias("index"), F.col("doc_key").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return engine(spark, sf_dir).hits("both", _BOTH).select("index", F.col("doc_key").cast("bigint").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_MATCH = Parser({"text": STANDARD}).parse(_BOTH)
+_ALIAS_SQL = f"SELECT 'documents' AS index, doc_id, score FROM ({_Sql(TABLES['documents']).query(_MATCH)}) UNION ALL SELECT 'turns', key, score FROM ({_Sql(TABLES['turns']).query(_MATCH)})"
+_add("alias_union_search", _alias, _ALIAS_SQL)
+_add("engine_count", lambda spark, sf_dir: spark.createDataFrame([("both", engine(spark, sf_dir).count("both", _BOTH)), ("all", engine(spark, sf_dir).count("documents"))], "what string, n bigint"), f"SELECT 'both' AS what, count(*) AS n FROM ({_ALIAS_SQL}) UNION ALL SELECT 'all', count(*) FROM documents")
+
+
+def _engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response of the engine: its page of hits with stored fields, and hits.total on each."""
+    found = engine(spark, sf_dir).search("documents", _TOP, from_=5, size=20, fields=["lang", "n_chars", "nope"])["hits"]
+    rows = [(int(h["_id"]), round(h["_score"], 6), h["fields"]["lang"][0], h["fields"]["n_chars"][0], found["total"]) for h in found["hits"]]
+    return spark.createDataFrame(rows, "doc_id bigint, score double, lang string, n_chars bigint, total bigint")
+
+
+_add("engine_search", _engine_search, f"SELECT *, 20::BIGINT AS total FROM ({_page_sql(5, 20, ('lang', 'n_chars'))})")
+
 
+def _get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their keys, one of which isn't there."""
+    rows = [(k, d is not None, (d or {}).get("lang"), (d or {}).get("text")) for k in ("1", "2", "17", "nope") for d in [engine(spark, sf_dir).get_document("documents", "doc", k)]]
+    return spark.createDataFrame(rows, "k string, found boolean, lang string, text string")
 
-_MATCH = Parser({"text": STANDARD}).parse({"match": {"text": "the thin"}})
-_add("alias_union_search", _alias, f"SELECT 'documents' AS index, doc_id, score FROM ({_Sql(TABLES['documents']).query(_MATCH)}) UNION ALL SELECT 'turns', key, score FROM ({_Sql(TABLES['turns']).query(_MATCH)})")
+
+_add("get_document", _get, "SELECT k, doc_id IS NOT NULL AS found, lang, text FROM (VALUES ('1'), ('2'), ('17'), ('nope')) v(k) LEFT JOIN documents ON CAST(doc_id AS VARCHAR) = k")
+
+
+# fixed cases with their expected rows
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names})"
+
+
+#: Texts and their words by UAX #29, as its rules give them; | parts words.
+WORD_CASES = {"a\u00adb": "a\u00adb", "l\u2018eau": "l\u2018eau", "d\u2019\u00e9t\u00e9": "d\u2019\u00e9t\u00e9", "a\u2024b": "a\u2024b", "1\u066c2": "1\u066c2", '\u05d0"\u05d1': '\u05d0"\u05d1', "\u05d0'": "\u05d0'", "a' b": "a|b", "\u24b6": "\u24b6", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35": "\u0e2a|\u0e27\u0e31|\u0e2a|\u0e14\u0e35", "\u30cf\u30c1\u516c\u3053\u3093": "\u30cf\u30c1|\u516c|\u3053|\u3093", "a:b a.b a,b": "a:b|a.b|a|b", "1:2 1.2 1,2": "1|2|1.2|1,2", "a.1 3a": "a|1|3a", "_ a_b __": "a_b", "can't 'tis": "can't|tis", "e\u0301a": "e\u0301a", "ab\u200dcd": "ab\u200dcd", "i\u2079": "i|\u2079", "\ud55c\uad6d \uc5b4": "\ud55c\uad6d|\uc5b4", "": ""}
+
+
+def _word_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(WORD_CASES)], "n int, text string")
+    return rows.select("n", F.array_join(F.transform(STANDARD_TOKENIZER.tokens(F.col("text")), lambda t: t["term"]), "|").alias("words"))
+
+
+_add("word_boundaries", _word_cases, _values(list(enumerate(WORD_CASES.values())), "n, words"))
+
+_FOLD_CASES = {"\u00c6\u00d8\u00de\u00df": "AEOTHss", "\ufb03 \u2474": "ffi (1)", "\u2460\u2469\u24b6": "110A", "\uff21\uff5a\uff11": "Az1", "\u0141\u0111\u0131": "Ldi", "\u00ab\u201c\u2019\u2014": '""\'-', "\u1e9e\u1efa\ua735": "SSLLao", "\u01c4\u01c9": "DZlj", "na\u00efve": "naive", "\u043a\u03b1": "\u043a\u03b1"}
+
+
+def _fold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphgrid.functions.folding import fold
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_FOLD_CASES)], "n int, text string")
+    return rows.select("n", fold(F.col("text")).alias("folded"))
+
+
+_add("ascii_folding", _fold_cases, _values(list(enumerate(_FOLD_CASES.values())), "n, folded"))
+
+_COERCED = {"properties": {"s": {"type": "string", "store": True}, "n": {"type": "integer", "store": True}, "b": {"type": "boolean", "store": True}, "d": {"type": "date", "store": True}}}
+_JSON_CASES = [
+    ("number", {"s": 12, "b": "yes"}), ("float", {"s": 1.5, "b": "true"}), ("array", {"s": ["one two", None, "three"], "b": 1}), ("null", {"s": None, "n": None, "b": False}), ("offset", {"d": "2016-07-23T16:15:00+01:00", "n": -5, "b": True}),
+    ("fraction", {"d": "1969-12-31T23:59:59.999999999Z", "n": 9223372036854775807, "b": "no"}), ("empty", {}),
+]
+
+
+def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values as they are stored: numbers and arrays as strings, lenient booleans, instants with offsets."""
+    mapping = parse_mapping(_COERCED)
+    own = build(sources.rows(spark, _JSON_CASES, mapping), mapping, sources.KEY)
+    return own.docs.select(F.col("doc_key").alias("k"), "s", *[c.cast("string").alias(n) for n, c in (("n", F.col("n")), ("b", F.col("b")), ("d", F.unix_micros("d")))])
+
+
+_add("json_coercion", _coerced, _values([("number", "12", None, "true", None), ("float", "1.5", None, "false", None), ("array", "one two three", None, "false", None), ("null", None, None, "false", None), ("offset", None, "-5", "true", "1469286900000000"), ("fraction", None, "9223372036854775807", "false", "-1"), ("empty", None, None, None, None)], "k, s, n, b, d"))
+
+
+def _array_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions go on from one element of an array to the next."""
+    mapping = parse_mapping(_COERCED)
+    found = analyse(sources.rows(spark, _JSON_CASES, mapping), mapping, sources.KEY).where("field = 's'")
+    return found.select(F.col("doc_key").alias("k"), F.explode("tokens").alias("t")).select("k", F.col("t.term").cast("string").alias("term"), "t.position")
+
+
+_add("array_positions", _array_positions, _values([("number", "12", 1), ("float", "1.5", 1), ("array", "one", 1), ("array", "two", 2), ("array", "three", 3)], "k, term, position"))
+
+
+def _administration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine answers to the operations on indices, mappings, fields and aliases, before and after a restart."""
+    own = Engine(spark, fresh(spark, "administration"))
+    said: list[tuple[str, str]] = []
+    tell = lambda what, x: said.append((f"{len(said):02d} {what}", json.dumps(x, sort_keys=True)))
+    tell("create", own.create_index("a", {"mappings": {"m": {"properties": {"t": {"type": "string"}}}}, "settings": {"analysis": {"filter": {"g": {"type": "edgeNGram", "side": "back", "min_gram": 2, "max_gram": 3}}}}}))
+    tell("create again", own.create_index("a"))
+    tell("filters", own.get_index("a")["a"]["settings"]["analysis"]["filter"])
+    tell("mapping", own.put_mapping("a", {"n": {"properties": {"t": {"type": "string"}, "u": {"type": "integer"}}}}))
+    tell("conflict", own.put_mapping("a", {"n": {"properties": {"t": {"type": "integer"}}}}))
+    tell("mappings", sorted(own.get_index("a")["a"]["mappings"]))
+    tell("alias", own.put_alias("x", "a"))
+    tell("alias of a name", own.put_alias("a", "a"))
+    tell("get alias", own.get_alias("x"))
+    tell("get alias of an index", own.get_alias("x", "b"))
+    tell("aliases", own.list_aliases())
+    tell("remove field", own.remove_field("a", "u"))
+    tell("refresh", own.refresh("a"))
+    own.put_document("a", "m", "1", {"t": "one"})
+    again = Engine(spark, own.warehouse)
+    tell("restart", [sorted(again.stores), again.count("x"), sorted(again.stores["a"].mapping.fields)])
+    tell("index over an alias", again.create_index("x"))
+    tell("aliases", again.list_aliases())
+    tell("drop", again.delete_index("a"))
+    tell("left", sorted(Engine(spark, own.warehouse).stores))
+    return spark.createDataFrame(said, "step string, answer string")
+
+
+_YES, _NO = '{"acknowledged": true}', '{"acknowledged": false}'
+_ANSWERS = [("create", _YES), ("create again", _YES), ("filters", '{"asciifolding": {"type": "asciifolding"}, "g": {"max_gram": 3, "min_gram": 2, "side": "back", "type": "edgeNGram"}, "lowercase": {"type": "lowercase"}}'), ("mapping", _YES), ("conflict", _NO), ("mappings", '["m", "n"]'), ("alias", _YES), ("alias of a name", _NO), ("get alias", '{"a": {"aliases": {"x": {}}}}'), ("get alias of an index", "{}"), ("aliases", '{"a": {"aliases": {"x": {}}}}'), ("remove field", _YES), ("refresh", _YES), ("restart", '[["a"], 1, ["t"]]'), ("index over an alias", _YES), ("aliases", '{"a": {"aliases": {}}, "x": {"aliases": {}}}'), ("drop", _YES), ("left", '["x"]')]
+_add("administration", _administration, _values([(f"{i:02d} {w}", a) for i, (w, a) in enumerate(_ANSWERS)], "step, answer"))
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _rows(spark, sf_dir, TABLES["documents"])
+    docs = _rows(spark, sf_dir, TABLES["documents"]).repartition(spark.sparkContext.defaultParallelism)
     action = F.to_json(F.struct(F.struct(F.col("doc_id").cast("string").alias("_id"), F.lit("doc").alias("_type"), F.lit("documents").alias("_index")).alias("index")))
     return docs.select(F.concat(action, F.lit("\n"), F.to_json(F.struct("text", "lang", "source", "n_chars"))).alias("value"))
 
 
 def _bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = TABLES["documents"].mapping
-    rows = sources.parse_documents(sources.bulk(_bodies(spark, sf_dir)), mapping)
+    rows = sources.parse_documents(sources.bulk(_bodies(spark, sf_dir)).select("id", "document"), mapping)
     return rows.select(F.col(sources.KEY).cast("bigint").alias("doc_id"), F.array_join("lang", " ").alias("lang"), F.array_join("source", " ").alias("source"), "n_chars", F.array_join("text", " ").alias("text"))
 
 
@@ -460,6 +623,19 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.stores["documents"].index().docs.select(F.col("doc_key").cast("bigint").alias("doc_id"), "lang", "source", "n_chars", "text")
 
 
+def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as bulk bodies that don't name their index, one of which isn't valid; what each action came to, counted."""
+    own = Engine(spark, fresh(spark, "scoped"))
+    own.create_index("turns", {"mappings": {"doc": {"properties": TABLES["turns"].properties}}})
+    turns = _rows(spark, sf_dir, TABLES["turns"]).where("text IS NOT NULL")
+    action = F.concat(F.lit('{"index": {"_type": "doc", "_id": "'), F.col("key").cast("string"), F.lit('"}}'))
+    bodies = turns.select(F.concat(action, F.lit("\n"), F.to_json(F.struct("text", "role"))).alias("value")).union(spark.createDataFrame([('{"index": {"_type": "doc", "_id": "bad"}}\n{"text": {}}',)], "value string"))
+    out = own.bulk(bodies, "turns")
+    return out["items"].groupBy("status").agg(F.count(F.lit(1)).alias("n")).unionByName(spark.createDataFrame([("live", own.count("turns"))], "status string, n bigint"))
+
+
+_add("bulk_scoped", _scoped, "SELECT 'created' AS status, count(*) AS n FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 'failed', 1 UNION ALL SELECT 'live', count(*) FROM conversations WHERE text IS NOT NULL")
+
 _SAME = "SELECT doc_id, lang, source, n_chars, text FROM documents"
 _add("bulk_ndjson_parse", _bulk, _SAME)
 _add("stream_bulk", _stream, _SAME)

@@ -109,38 +109,83 @@ def actions(body: str) -> Iterator[tuple[int, dict, str]]:
 
 
 def bulk(bodies: DataFrame, index: str | None = None) -> DataFrame:
-    """(seq, index, type, id, document) of bulk bodies in a column value, one request a row.
+    """(request, line, index, type, id, document, error) of bulk bodies in a column value, one request a row.
 
-    seq orders actions within a body and, with a column request, bodies among
-    each other.  index stands for actions that don't name one.
+    Actions are in order of a column request, if there is one, and of their lines.
+    index stands for actions that don't name one.  A line that is no action gives
+    a row with its error and ends its body, as what follows can't be told apart; an
+    action without _id, _type or _index gives one too, and reading goes on.
     """
-    ordered = bodies.select(F.col("request").cast("bigint") if "request" in bodies.columns else F.lit(0).cast("bigint").alias("request"), F.col("value").cast("string").alias("value")).where("value IS NOT NULL")
+    request = F.col("request").cast("string") if "request" in bodies.columns else F.lit("")
+    names = ["request", "line", "index", "type", "id", "document", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for request, body in zip(b.column("request").to_pylist(), b.column("value").to_pylist()):
-                made = [((request << 32) + n, p.get("_index", index), p.get("_type"), p.get("_id"), d) for n, p, d in actions(body)]
-                for at in range(0, len(made), 5000):
-                    cols = list(zip(*made[at : at + 5000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["seq", "index", "type", "id", "document"])
+                made: list[tuple] = []
 
-    return ordered.mapInArrow(run, "seq bigint, index string, type string, id string, document string")
+                def out() -> pa.RecordBatch:
+                    cols = list(zip(*made))
+                    made.clear()
+                    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(cols)], names=names)
+
+                number = -1
+                try:
+                    for number, p, d in actions(body):
+                        where = (p.get("_index", index), p.get("_type"), p.get("_id"))
+                        missing = [n for n, v in zip(("_index", "_type", "_id"), where) if v is None]
+                        made.append((request, number, *(None if v is None else str(v) for v in where), d, f"ExpectedKey: {', '.join(missing)}" if missing else None))
+                        if len(made) >= 5000:
+                            yield out()
+                except (ValueError, AttributeError) as e:
+                    made.append((request, number + 1, None, None, None, None, f"BadAction: {e}"))
+                if made:
+                    yield out()
+
+    return bodies.select(request.alias("request"), F.col("value").cast("string").alias("value")).where("value IS NOT NULL").mapInArrow(run, "request string, line bigint, index string, type string, id string, document string, error string")
 
 
 def read_bulk(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
     """bulk() of the files in a folder, each one request, in order of their names."""
-    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name"))
-    return bulk(files.select(F.xxhash64("name").bitwiseAND(F.lit(0x7FFFFFFF)).alias("request"), "value"), index)
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("request"))
+    return bulk(files, index)
+
+
+ERROR = "_error"
+
 
+def parse_documents(documents: DataFrame, mapping: Mapping, strict: bool = True) -> DataFrame:
+    """The rows of documents (id, document), with their other columns.
 
-def parse_documents(documents: DataFrame, mapping: Mapping) -> DataFrame:
-    """The rows of documents (id, document); raises where one doesn't fit the mapping."""
+    strict raises where one doesn't fit the mapping; else such a row has the
+    reason in a column _error and nothing but its key.
+    """
+    more = [c for c in documents.columns if c not in ("id", "document")]
+    kind = ", ".join([row_schema(mapping), *([] if strict else [f"{ERROR} string"]), *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in more]])
+
+    def one(key: str, text: str) -> dict[str, Any]:
+        try:
+            return prepare(key, _object(text), mapping)
+        except ValueError as e:
+            if strict:
+                raise
+            return {KEY: key, ERROR: str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _arrow([prepare(k, json.loads(d), mapping) for k, d in zip(b.column("id").to_pylist(), b.column("document").to_pylist())], mapping)
+            made = [one(k, d) for k, d in zip(b.column("id").to_pylist(), b.column("document").to_pylist())]
+            out = _arrow(made, mapping)
+            errors = [] if strict else [pa.array([r.get(ERROR) for r in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([*out.columns, *errors, *(b.column(c) for c in more)], names=[*out.schema.names, *([] if strict else [ERROR]), *more])
+
+    return documents.select("id", "document", *more).mapInArrow(run, kind)
+
 
-    return documents.select("id", "document").mapInArrow(run, row_schema(mapping))
+def _object(text: str) -> dict[str, Any]:
+    found = json.loads(text)
+    if not isinstance(found, dict):
+        raise FieldValueError("ExpectedObject")
+    return found
 
 
 def schema_of(mapping: Mapping) -> T.StructType:

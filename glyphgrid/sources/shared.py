@@ -7,14 +7,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from glyphgrid.operators.index import Index
+from glyphgrid.operators.index import Index, lengths_of, postings_of
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The session's spark.checkpoint.dir; where none is set a temporary one, on a local master alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphgrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphgrid-"))
     return sc.getCheckpointDir()
 
 
@@ -26,12 +29,12 @@ def keep(index: Index, folder: str) -> Index:
     """Writes an index and its statistics as Parquet, and gives the index that reads them."""
     spark = index.docs.sparkSession
     index.docs.write.parquet(f"{folder}/docs")
-    index.lengths.write.parquet(f"{folder}/lengths")
-    # range partitioning reads its input twice, so the analysis is written before it
-    index.postings.write.parquet(f"{folder}/found")
-    spark.read.parquet(f"{folder}/found").repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key").write.parquet(f"{folder}/postings")
+    # written once, so that what is made of it, range partitioning above all, doesn't analyse again
+    index.vectors.write.parquet(f"{folder}/vectors")
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    out = Index(read("docs"), read("lengths"), read("postings"), index.mapping, index.settings)
+    found = read("vectors")
+    postings_of(found).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key").write.parquet(f"{folder}/postings")
+    out = Index(read("docs"), lengths_of(found), read("postings"), index.mapping, index.settings, found)
     out.field_stats.write.parquet(f"{folder}/field_stats")
     out.term_stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{folder}/term_stats")
     out.__dict__["field_stats"] = read("field_stats")

@@ -22,16 +22,11 @@ def stream_bulk(engine: Engine, folder: str, checkpoint: str, index: str | None
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        rank = F.row_number().over(_order())
-        engine.bulk(batch.select(rank.cast("bigint").alias("request"), "value"), index)
+        # bodies are in order of their arrival, then their names
+        arrival = F.concat(F.lpad(F.unix_micros("at").cast("string"), 20, "0"), F.lit(" "), F.col("name"))
+        engine.bulk(batch.select(arrival.alias("request"), "value"), index)
         engine.maintain()
 
     writer = read_stream(engine.spark, folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
-
-def _order():
-    from pyspark.sql.window import Window
-
-    # bodies of one micro-batch, few and small beside their documents
-    return Window.orderBy("at", "name")

@@ -6,9 +6,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphgrid.functions import terms
-from glyphgrid.functions.analysis import ASCII_FOLDING, LOWERCASE, STANDARD, Analyzer, Grams, TokenFilter, Tokenizer
+from glyphgrid.functions import words as word_rules
+from glyphgrid.functions.analysis import ASCII_FOLDING, LOWERCASE, STANDARD, STANDARD_TOKENIZER, Analyzer, Grams, TokenFilter, Tokenizer
 from glyphgrid.functions.folding import TABLE, fold_text
 from glyphgrid.functions.similarity import Bm25, TfIdf, length_code
+from glyphgrid.functions.words import words
 
 FRONT, BACK, ANY = Grams(2, 3, "front"), Grams(2, 3, "back"), Grams(2, 3)
 STD = Tokenizer()
@@ -24,7 +26,7 @@ CASES = [
     (Analyzer(STD, (TokenFilter("grams", Grams(20, 20)),)), "hello", []), (Analyzer(STD, (TokenFilter("grams", Grams(0, 0)),)), "hello", []), (Analyzer(STD, (TokenFilter("grams", Grams(20, 5)),)), "hello", []),
     (Analyzer(STD, (TokenFilter("grams", Grams(3, 1)),)), "hello", [("hel", 1)]),
     (Analyzer(STD, (LOWERCASE,)), "Hulk SMASH ハチ公 Test", [("hulk", 1), ("smash", 2), ("ハチ", 3), ("公", 4), ("test", 5)]),
-    (Analyzer(STD, (ASCII_FOLDING,)), "Ĥéllø Ａ i⁹ straße Æon", [("Hello", 1), ("A", 2), ("i9", 3), ("strasse", 4), ("AEon", 5)]),
+    (Analyzer(STD, (ASCII_FOLDING,)), "Ĥéllø Ａ i⁹ straße Æon", [("Hello", 1), ("A", 2), ("i", 3), ("9", 4), ("strasse", 5), ("AEon", 6)]),
     (STANDARD, "", []), (STANDARD, "ĤÉLLØ", [("hello", 1)]), (Analyzer(Tokenizer("lowercase")), "ABC d", [("abc", 1), ("d", 2)]),
 ]
 
@@ -39,9 +41,35 @@ def test_analyzers_in_spark_and_on_the_driver(spark):
 
 def test_graphemes_stay_whole(spark):
     word = "u̇" + "\U0001f468‍\U0001f469" + "e"
-    want = ["u̇\U0001f468‍\U0001f469", "\U0001f468‍\U0001f469e"]
-    assert Grams(2, 2).of_text(word) == want
-    assert spark.createDataFrame([(word,)], "x string").select(Grams(2, 2).of(F.col("x")).alias("g")).first()["g"] == want
+    assert Grams(2, 2).of_text(word) == ["u̇\U0001f468‍\U0001f469", "\U0001f468‍\U0001f469e"]
+    assert Grams(2, 2).of_text("u̇ab") == ["u̇a", "ab"]
+
+
+#: Texts and their words by the default rules of UAX #29.
+BOUNDARIES = [
+    ("a\u00adb", ["a\u00adb"]), ("l‘eau d’été", ["l‘eau", "d’été"]), ("a․b", ["a․b"]), ("1٬2", ["1٬2"]), ('א"ב', ['א"ב']), ("א'", ["א'"]), ('א"', ["א"]), ("a'", ["a"]), ('a"b', ["a", "b"]),
+    ("Ⓐ", ["Ⓐ"]), ("สวัสดี", ["ส", "วั", "ส", "ดี"]), ("ハチ公こん", ["ハチ", "公", "こ", "ん"]), ("ｱｲｳabc", ["ｱｲｳ", "abc"]), ("ab\u200dcd", ["ab\u200dcd"]), ("А.Б. ок", ["А.Б", "ок"]),
+    ("a:b a.b a,b a;b", ["a:b", "a.b", "a", "b", "a", "b"]), ("1:2 1.2 1,2 1;2", ["1", "2", "1.2", "1,2", "1;2"]), ("a.1 1.a a1.2b", ["a", "1", "1", "a", "a1.2b"]), ("3a a3", ["3a", "a3"]),
+    ("_ __ _a a_ a_b 1_2 カ_a", ["_a", "a_", "a_b", "1_2", "カ_a"]), ("a..b", ["a", "b"]), ("can't", ["can't"]), ("'tis", ["tis"]), ("é e\u0301", ["é", "e\u0301"]), ("a\u0301'\u0301b", ["a\u0301'\u0301b"]),
+    ("a\u0308\u200d_", ["a\u0308\u200d_"]), ("क्षि", ["क्षि"]), ("𝒳y", ["𝒳y"]), ("1\ufe0f\u20e3", ["1\ufe0f\u20e3"]), ("\U0001f600 \U0001f1e9\U0001f1ea", []), ("¸ ˂", []), ("½ Ⅷ ٣", ["½", "Ⅷ", "٣"]), ("안녕 세계", ["안녕", "세계"]), ("a\r\nb\nc", ["a", "b", "c"]), ("", []), (" \t", []),
+]
+
+
+def test_word_boundaries(spark):
+    got = spark.createDataFrame([(t,) for t, _ in BOUNDARIES], "x string").select("x", STANDARD_TOKENIZER.tokens(F.col("x")).alias("t")).collect()
+    assert {r["x"]: [t["term"] for t in r["t"]] for r in got} == dict(BOUNDARIES)
+    assert all(words(t) == want for t, want in BOUNDARIES)
+
+
+FULL = word_rules._Rules(0x10FFFF)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("aB9_.,:;'’‘ éßǅɏ¸字あカーｱ-\"אבש\u0301\u00ad\u200dั͜А1٢٬\n𝒳𐐀")), max_size=14))
+def test_fast_patterns_are_the_full_rules(text):
+    full = FULL
+    found = (full.hebrew if word_rules._HEBREW.search(text) else full.general).findall(text)
+    assert words(text) == [w for w in found if full.alnum.search(w)]
 
 
 def test_fold_table_in_spark(spark):

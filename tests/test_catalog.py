@@ -1,11 +1,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from glyphgrid.operators import search
 from glyphgrid.operators.catalog import Engine, Names, NotFound
-from glyphgrid.operators.index import FieldValueError
+from glyphgrid.operators.index import FieldValueError, Index
 from glyphgrid.plans.mapping import parse_mapping
 from glyphgrid.sources import documents
+from glyphgrid.sources.store import Conflict, Store
 from glyphgrid.streaming.ingest import stream_bulk
 
 MAPPING = {"properties": {"title": {"type": "string", "store": True}, "body": {"type": "string", "store": "yes"}, "pk": {"type": "integer", "store": True, "index": "no"}, "at": {"type": "date", "store": True}, "ok": {"type": "boolean", "store": True}, "sub": {"type": "nested", "properties": {"x": {"type": "string"}}}}}
@@ -47,7 +50,9 @@ def test_strictness(engine):
         with pytest.raises(FieldValueError):
             engine.put_document("main", "doc", "k", document)
     with pytest.raises(NotFound):
-        engine.put_document("main", "doc", "k", {})
+        engine.put_document("main", "doc", "k", None)
+    engine.put_document("main", "doc", "bare", {})
+    assert engine.count("main") == 1 and engine.get_document("main", "doc", "bare") == {}
     for call in (lambda: engine.put_document("x", "doc", "k", {"pk": 1}), lambda: engine.put_document("main", "x", "k", {"pk": 1}), lambda: engine.search("x", {"match_all": {}}), lambda: engine.get_index("x")):
         with pytest.raises(NotFound):
             call()
@@ -81,6 +86,14 @@ def test_indices_mappings_and_aliases(engine):
     assert Engine(engine.spark, engine.warehouse).stores == {}
 
 
+def test_aliases_are_there_after_a_restart(engine):
+    engine.put_alias("other", "main")
+    again = Engine(engine.spark, engine.warehouse)
+    assert again.names.find("other") == ["main"] and again.search("other", {"match_all": {}})["hits"]["total"] == 0
+    again.delete_index("main")
+    assert Engine(engine.spark, engine.warehouse).names.aliases == {}
+
+
 def test_names():
     n = Names()
     assert n.add("a") and not n.add("a") and n.put_alias("x", ["a"])
@@ -99,6 +112,29 @@ def test_bulk(engine, spark):
     no_index = json.dumps({"index": {"_id": "d", "_type": "doc"}}) + "\n" + json.dumps({"title": "four"})
     engine.bulk(spark.createDataFrame([(no_index,)], "value string"), "main")
     assert engine.count("main") == 3
+
+
+def test_bulk_reports_each_action(engine, spark):
+    lines = [{"index": {"_id": "a", "_type": "doc", "_index": "main"}}, {"title": "one"}, {"index": {"_id": "b", "_type": "doc", "_index": "main"}}, {"pk": "no number"}, {"index": {"_type": "doc", "_index": "main"}}, {"title": "no id"}, {"index": {"_id": "c", "_type": "none", "_index": "main"}}, {}, {"index": {"_id": "a", "_type": "doc", "_index": "main"}}, {"nope": 1}]
+    out = engine.bulk_request("\n".join(map(json.dumps, lines)) + "\n[1]\n{}")
+    assert out["took"] == 6 and out["errors"]
+    got = [(i["create"]["_id"], i["create"].get("error", "").split(":")[0]) for i in out["items"]]
+    assert got == [("a", ""), ("b", "FieldValueError"), (None, "ExpectedKey"), ("c", "NotFound"), ("a", "FieldDoesntExist"), (None, "BadAction")]
+    # what is invalid replaces nothing
+    assert engine.count("main") == 1 and engine.get_document("main", "doc", "a") == {"title": "one"}
+    assert engine.bulk_request("")["items"] == []
+
+
+def test_files_are_in_order_of_their_names(engine, spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for i in range(12):
+        (folder / f"f{i:02d}.json").write_text(body(("k", {"title": f"version{i}"}), (f"own{i}", {"title": "x"})))
+    found = documents.read_bulk(spark, str(folder))
+    assert [r["document"] for r in found.orderBy("request", "line").where("id = 'k'").collect()] == [json.dumps({"title": f"version{i}"}) for i in range(12)]
+    files = spark.read.text(str(folder), wholetext=True).select("value", F.input_file_name().alias("request"))
+    engine.bulk(files)
+    assert engine.get_document("main", "doc", "k") == {"title": "version11"} and engine.count("main") == 13
     for bad in ('{"index": {}, "x": 1}\n{}', '{"index": {"_id": "a"}}\n', "[1]\n{}"):
         with pytest.raises(ValueError):
             list(documents.actions(bad))
@@ -110,6 +146,108 @@ def test_maintenance_merges_a_full_tier(engine):
     assert engine.maintain() == ["main"] and engine.maintain() == [] and engine.count("main") == 3
 
 
+def test_a_merge_takes_the_full_tier_alone(engine, spark):
+    rows = spark.createDataFrame([(f"big{i}", "x y") for i in range(30)], "id string, title string")
+    engine.upsert("main", "doc", rows, "id")
+    store = engine.stores["main"]
+    big = store.manifest["segments"][0]["id"]
+    for i in range(3):
+        engine.put_document("main", "doc", str(i), {"title": "x z"})
+    engine.put_document("main", "doc", "big7", {"title": "z"})
+    engine.delete_document("main", "doc", "2")
+    assert engine.maintain() == ["main"]
+    assert [s["id"] for s in store.manifest["segments"]][0] == big and len(store.manifest["segments"]) == 2
+    assert sorted(tuple(r) for r in store.segment_stats().collect()) == [(1, 30, 1), (6, 3, 0)]
+    assert engine.count("main", {"match": {"title": "z"}}) == 3 and engine.count("main") == 32
+    check_statistics(store)
+
+
+def check_statistics(store):
+    """Summed statistics are those of a count over the live tables."""
+    own = store.index()
+    fresh = Index(own.docs, own.lengths, own.postings, own.mapping)
+    for name in ("field_stats", "term_stats"):
+        assert sorted(map(tuple, getattr(own, name).collect())) == sorted(map(tuple, getattr(fresh, name).collect())), name
+
+
+def test_statistics_follow_updates_deletes_and_merges(engine, spark):
+    store = engine.stores["main"]
+    make = lambda ids, text: spark.createDataFrame([(str(i), f"{text} w{i}") for i in ids], "id string, title string")
+    engine.upsert("main", "doc", make(range(12), "one"), "id")
+    engine.upsert("main", "doc", make(range(6, 15), "two"), "id")
+    store.delete(spark.createDataFrame([("3",), ("7",), ("nope",), ("3",)], "doc_key string"))
+    store.delete(spark.createDataFrame([("3",), ("8",)], "doc_key string"))
+    engine.upsert("main", "doc", make([3, 9], "three"), "id")
+    check_statistics(store)
+    assert engine.count("main") == 13 and sum(r["deleted_docs"] for r in store.segment_stats().collect()) == 12 + 9 + 2 - 13
+    plan = search.search(store.index(), {"match": {"title": "two"}})
+    assert not any("/vectors/" in f or "/docs/" in f for f in plan.inputFiles())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text
+    store.merge([s["id"] for s in store.manifest["segments"][:2]])
+    check_statistics(store)
+    store.optimize()
+    check_statistics(store)
+    assert not store.manifest["deletes"] and engine.count("main", {"match": {"title": "three"}}) == 2
+
+
+def test_two_writers_lose_nothing(engine, spark):
+    other = Engine(spark, engine.warehouse)
+    engine.put_document("main", "doc", "a", {"title": "one"})
+    other.put_document("main", "doc", "b", {"title": "two"})
+    engine.put_document("main", "doc", "b", {"title": "three"})
+    other.stores["main"].delete(spark.createDataFrame([("a",)], "doc_key string"))
+    assert engine.count("main") == 1 == other.count("main") and other.get_document("main", "doc", "b") == {"title": "three"}
+    check_statistics(engine.stores["main"])
+    stale = Store(spark, engine.stores["main"].files.folder, engine.stores["main"].manifest, engine.stores["main"].number - 1)
+    with pytest.raises(Conflict):
+        stale._commit(next=99)
+    # a writer that comes between another's look and its commit
+    store, done = engine.stores["main"], []
+    commit = store._commit
+
+    def late(**changes):
+        if not done:
+            done.append(1)
+            other.put_document("main", "doc", "c", {"title": "between"})
+        commit(**changes)
+
+    store._commit = late
+    engine.put_document("main", "doc", "c", {"title": "after"})
+    assert engine.count("main") == 2 == other.count("main") and other.get_document("main", "doc", "c") == {"title": "after"}
+    check_statistics(other.stores["main"])
+
+
+def test_a_snapshot_outlives_a_merge_until_purged(engine):
+    for i in range(3):
+        engine.put_document("main", "doc", str(i), {"title": "old"})
+    store = engine.stores["main"]
+    before = store.index()
+    engine.optimize("main")
+    engine.put_document("main", "doc", "0", {"title": "new"})
+    assert search.count(before, {"match": {"title": "old"}}).first()["count"] == 3 and engine.count("main", {"match": {"title": "old"}}) == 2
+    folders = set(store.files.folders())
+    store.purge()
+    assert set(store.files.folders()) == folders
+    store.purge(older=-1)
+    assert len(store.files.folders()) < len(folders) and engine.count("main", {"match": {"title": "old"}}) == 2 and not store.manifest["retired"]
+
+
+def test_fields_can_be_removed(engine, spark):
+    engine.put_document("main", "doc", "a", {"title": "one", "body": "two"})
+    assert engine.remove_field("main", "body")["acknowledged"] and not engine.remove_field("main", "body")["acknowledged"]
+    with pytest.raises(FieldValueError):
+        engine.put_document("main", "doc", "b", {"body": "x"})
+    assert engine.get_document("main", "doc", "a") == {"title": "one"}
+    assert not engine.put_mapping("main", {"more": {"properties": {"body": {"type": "integer"}}}})["acknowledged"]
+    assert engine.put_mapping("main", {"more": {"properties": {"body": {"type": "string", "store": True}}}})["acknowledged"]
+    assert engine.count("main", {"match": {"body": "two"}}) == 0
+    engine.put_document("main", "more", "c", {"body": "two"})
+    assert engine.count("main", {"match": {"body": "two"}}) == 1 and engine.get_document("main", "doc", "a") == {"title": "one"}
+    engine.optimize("main")
+    assert engine.count("main", {"match": {"body": "two"}}) == 1 and engine.count("main", {"match": {"title": "one"}}) == 1
+
+
 def test_stream(engine, spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

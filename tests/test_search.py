@@ -141,6 +141,35 @@ def test_long_lists_match_too(both):
         assert {r["doc_key"] for r in matches(index, q, scored=False).collect()} == set(want)
 
 
+def test_trees_of_many_leaves_match_whatever_they_hold(both, monkeypatch):
+    """Prefixes and several similarities among more leaves than are written into the filter."""
+    index, plain = both
+    rng = random.Random(5)
+    monkeypatch.setattr("glyphgrid.plans.compile.INLINE_LEAVES", 1)
+    trees = [tree(rng, d) for d in (1, 2, 3, 3, 3, 3)]
+    many = tuple(Prefix("body", f"{v}{i}".encode(), Scorer(rng.choice([Bm25(), TfIdf()]), 2.0)) for i in range(12) for v in VOCABULARY[:3]) + tuple(Prefix("body", v.encode()) for v in ["", *VOCABULARY])
+    trees += [Disjunction(many + (Term("tag", b"a", Scorer(TfIdf())), Term("tag", b"a"))), Conjunction((Prefix("body", b"a"), Prefix("title", b"a", Scorer(TfIdf())))), Exclude(All(), Disjunction(many[-3:])), Prefix("body", b"a")]
+    for q in trees:
+        want = plain.run(q)
+        got = {r["doc_key"]: r["score"] for r in matches(index, q).collect()}
+        assert set(got) == set(want), q
+        assert all(abs(got[d] - want[d]) < 1e-9 for d in want), q
+        assert search.count(index, q).first()["count"] == len(want)
+    within = matches(index, Disjunction((Prefix("tag", b"a"), Term("body", b"a"))), prefix_within_field=True)
+    monkeypatch.undo()
+    again = matches(index, Disjunction((Prefix("tag", b"a"), Term("body", b"a"))), prefix_within_field=True)
+    close = lambda df: sorted((r["doc_key"], round(r["score"], 9)) for r in df.collect())
+    assert close(within) == close(again)
+
+
+def test_a_single_term_needs_no_shuffle_of_postings(both, tmp_path):
+    from glyphgrid.sources.shared import keep
+
+    kept = keep(both[0], f"{tmp_path}/index")
+    plan = matches(kept, Term("body", b"ab"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_key" not in plan and "SortMergeJoin" not in plan, plan
+
+
 def test_which_queries_need_all_documents():
     a, b = Term("f", b"a"), Term("f", b"b")
     assert matches_without_terms(Exclude(All(), a)) and matches_without_terms(Disjunction((a, All())))
