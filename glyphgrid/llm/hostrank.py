@@ -2,20 +2,24 @@
 
 Trust is personalised PageRank from trusted hosts along links; distrust is the
 same from blocked hosts against the links' direction, so that who links to bad
-hosts is distrusted.  Both are in units of one seed's own share of teleports: a
-seed has at least 1 at every size of the graph.
+hosts is distrusted.  A walk ends where a host has no link to follow.  Both are in
+units of one seed's own share of teleports: a seed has at least 1 at every size of
+the graph.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrid.llm.common import cut
 
 DAMPING, ROUNDS, MAX_DISTRUST, MIN_TRUST = 0.85, 20, 0.05, 0.0
+#: Outgoing steps of a host are spread over so many parts, so that a hub's don't meet in one task.
+SALTS = 16
 TLDS = ("com", "net", "org")
 
 
@@ -26,95 +30,155 @@ def everywhere(names: Sequence[str], tlds: Sequence[str] = TLDS) -> tuple[str, .
 
 TRUSTED = everywhere(("tionsh", "tionble", "ththnd"))
 BLOCKED = everywhere(("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets"))
-HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
-LINK = r"(?i)<a(?:rea)?\s[^>]*?href\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+LINK = r"(?i)<a(?:rea)?\s[^<>]*?href\s*=\s*[\"']?((?:https?:)?//[^\"'\s<>]+)"
 
 
 def host(url: Column) -> Column:
-    """The lower-case host of an absolute or protocol-relative URL, else null."""
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The lower-case host of an absolute or protocol-relative URL without a closing dot, else null.
+
+    An IPv6 address keeps its brackets.
+    """
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.+$", ""), F.lit(""))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts, counted over all pages.
 
-    A relative link stays on its host and is no edge.
+    A relative link stays on its host and is no edge, also below a <base>, which
+    isn't read; character references end no host name and aren't resolved.  A tag
+    that is never closed ends at the next one.
     """
     links = pages.select(host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.col("html"), F.lit(LINK), F.lit(1))).alias("to"))
     return links.select("src", host(F.col("to")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def is_seed(name: Column, seeds: Sequence[str]) -> Column:
-    """Whether a host is one of the seeds or below one."""
-    out = F.lit(False)
-    for s in seeds:
-        out = out | (name == s) | F.endswith(name, F.lit("." + s))
-    return out
+def seed_table(spark: SparkSession, trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED) -> DataFrame:
+    """(side, domain) of seeds in lists: side 0 is trusted, 1 blocked.  A table of any length does as well."""
+    return spark.createDataFrame([(0, s) for s in trusted] + [(1, s) for s in blocked], "side int, domain string")
+
+
+def seeded(names: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(side, host) of the hosts of names (host) that are a seed or below one: their parent domains meet the seeds in an equi-join."""
+    labels = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    own = seeds.select("side", "domain").where("side IS NOT NULL AND domain IS NOT NULL").distinct()
+    return names.select("host", F.explode(domains).alias("domain")).join(own, "domain").select("side", "host").distinct()
 
 
-def rank(hosts: DataFrame, edges: DataFrame, trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) for every host of hosts (host) and edges (src, dst, n).
+def rank(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) for the hosts of hosts (host) and edges (src, dst, n) that any seed reaches.
 
-    Rounds of power iteration, both directions in one join each; what hosts
-    without links hold returns to the seeds.  Without seeds all is 0.
+    What each round passes on is summed over all rounds, so a round joins only
+    the hosts that the walk has reached with the steps from them; it ends early
+    where nothing is passed on.  Without seeds there are no rows.  Repeated
+    edges add up; null hosts have no part.
     """
-    both = edges.select(F.lit(0).alias("side"), "src", "dst", "n").unionByName(edges.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    links = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    both = links.select(F.lit(0).alias("side"), "src", "dst", "n").unionByName(links.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    both = both.groupBy("side", "src", "dst").agg(F.sum("n").alias("n"))
     out = both.groupBy("side", "src").agg(F.sum("n").alias("total"))
-    step = cut(both.join(out, ["side", "src"]).select("side", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    names = hosts.select("host").union(edges.select("src")).union(edges.select("dst")).where("host IS NOT NULL").distinct()
-    nodes = names.select("host", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    seed = F.when(F.col("side") == 0, is_seed(F.col("host"), trusted)).otherwise(is_seed(F.col("host"), blocked)).cast("double")
-    nodes = cut(nodes.withColumn("seed", seed))
-    seeds = {r["side"]: r["s"] for r in nodes.groupBy("side").agg(F.sum("seed").alias("s")).collect()}
-    per = F.when(F.col("side") == 0, F.lit(max(seeds.get(0) or 0, 1.0))).otherwise(F.lit(max(seeds.get(1) or 0, 1.0)))
-    nodes = nodes.withColumn("v", F.col("seed") / per).drop("seed")
-    now = nodes.withColumn("r", F.col("v"))
-    for k in range(rounds):
-        sent = now.select("side", F.col("host").alias("src"), "r").join(step, ["side", "src"]).groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        held = nodes.join(sent, ["side", "host"], "left").select("side", "host", "v", F.coalesce("got", F.lit(0.0)).alias("got"))
-        back = sent.groupBy("side").agg(F.sum("got").alias("all"))
-        # one row a direction: what was passed on; the rest returns to the seeds
-        held = held.join(back, "side", "left")
-        now = held.select("host", "side", "v", ((1 - damping) * F.col("v") + damping * (F.col("got") + F.col("v") * (1 - F.coalesce("all", F.lit(0.0))))).alias("r"))
-        if k % 5 == 4:
-            now = cut(now)
-    scale = per / F.lit(1 - damping)
-    return now.groupBy("host").agg(*[F.round(F.max(F.when(F.col("side") == side, F.col("r") * scale)), 9).alias(name) for side, name in ((0, "trust"), (1, "distrust"))])
-
-
-def filter_pages(pages: DataFrame, trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, max_distrust: float = MAX_DISTRUST, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    step = cut(both.join(out, ["side", "src"]).select("side", "src", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).alias("salt"), "dst", (F.col("n") / F.col("total") * damping).alias("share")))
+    names = hosts.select("host").union(links.select("src")).union(links.select("dst")).where("host IS NOT NULL").distinct()
+    now = cut(seeded(names, seeds).withColumn("r", F.lit(1.0)))
+    passed, since = [now], 0
+    if not step.isEmpty():
+        salts = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("salt")
+        for _ in range(rounds):
+            sent = now.select("side", F.col("host").alias("src"), "r", salts).join(step, ["side", "src", "salt"])
+            now = sent.groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("share")).alias("r"))
+            since += 1
+            if since == 2:  # the plan stays short, and a lost executor costs two rounds
+                now, since = cut(now), 0
+                if now.isEmpty():
+                    break
+            passed.append(now)
+    total = reduce(DataFrame.unionByName, passed)
+    score = lambda side: F.round(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("r"))), F.lit(0.0)), 9)
+    return total.groupBy("host").agg(score(0).alias("trust"), score(1).alias("distrust"))
+
+
+def keeps(max_distrust: float, min_trust: float) -> Column:
+    return ((F.col("distrust") < max_distrust) | (F.col("trust") > F.col("distrust"))) & (F.col("trust") >= min_trust)
+
+
+def filter_pages(pages: DataFrame, seeds: DataFrame | None = None, max_distrust: float = MAX_DISTRUST, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(page_id, host, trust, distrust, keep) for every row of pages.
 
-    A page stays when its host has less than max_distrust, or more trust than
-    distrust, and at least min_trust.
+    seeds is a table (side, domain), by default seed_table()'s.  A page stays when
+    its host has less than max_distrust, or more trust than distrust, and at
+    least min_trust: the threshold is the host's, its pages share it.
     A null or relative url has no host: scores of 0, and with the default
-    min_trust it stays.  Null html has no links.  Repeated rows are judged
-    repeatedly, and their links count again; other columns are ignored.
+    min_trust it stays.  Null or empty html has no links.  Repeated rows are
+    judged repeatedly, and their links count again; equal scores on both sides
+    count as distrust; other columns, also of the output's names, are ignored; an
+    empty table gives no rows.
     """
+    seeds = seed_table(pages.sparkSession) if seeds is None else seeds
     placed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host(F.col("url")).alias("host"))
-    ranked = rank(placed.select("host").distinct(), cut(host_edges(pages)), trusted, blocked, rounds, damping)
+    ranked = rank(placed.select("host").distinct(), cut(host_edges(pages)), seeds, rounds, damping)
     scored = placed.join(ranked, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    return scored.select("page_id", "host", "trust", "distrust", (((F.col("distrust") < max_distrust) | (F.col("trust") > F.col("distrust"))) & (F.col("trust") >= min_trust)).alias("keep"))
+    return scored.select("page_id", "host", "trust", "distrust", keeps(max_distrust, min_trust).alias("keep"))
+
+
+def trade_graph(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hosts, edges) of a shop's site for each customer and supplier: a customer links to the suppliers of its orders, these to customers by key."""
+    who = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"), F.lit(".example.com"))
+    bought = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).select(who("c", "o_custkey").alias("c"), who("s", "l_suppkey").alias("s"), (F.col("l_linenumber") == 1).alias("back"))
+    out = bought.select(F.col("c").alias("src"), F.col("s").alias("dst")).unionByName(bought.where("back").select(F.col("s").alias("src"), F.col("c").alias("dst")))
+    return customer.select(who("c", "c_custkey").alias("host")), out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Seeds of the trade graph: few hosts on either side, so that nearly all scores come by propagation.
+TRADE_SEEDS = (("c1.example.com", "s2.example.com"), ("c7.example.com", "s5.example.com"))
+
+
+def trade_ranks(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust, keep) of every host of trade_graph() that a seed reaches."""
+    hosts, edges = trade_graph(customer, orders, lineitem)
+    ranked = rank(hosts, cut(edges), seed_table(customer.sparkSession, *TRADE_SEEDS), rounds, damping)
+    return ranked.select("host", "trust", "distrust", keeps(MAX_DISTRUST, MIN_TRUST).alias("keep"))
+
+
+def _rank_ctes(trusted: Sequence[str], blocked: Sequence[str], rounds: int, damping: float) -> list[str]:
+    """CTEs from edges (src, dst, n) and names (host) to ranked (host, trust, distrust), the rounds unrolled."""
+    below = lambda seeds: " OR ".join(f"host = '{s}' OR ends_with(host, '.{s}')" for s in seeds) or "false"
+    ctes = [
+        "directed AS (SELECT 0 AS side, src, dst, n FROM edges UNION ALL SELECT 1, dst, src, n FROM edges)",
+        "step AS MATERIALIZED (SELECT side, src, dst, n / sum(n) OVER (PARTITION BY side, src) AS share FROM directed)",
+        f"r0 AS MATERIALIZED (SELECT host, 0 AS side, 1.0::DOUBLE AS r FROM names WHERE {below(trusted)} UNION ALL SELECT host, 1, 1.0 FROM names WHERE {below(blocked)})",
+    ]
+    for k in range(rounds):
+        ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT t.dst AS host, t.side, {damping}::DOUBLE * sum(r.r * t.share) AS r FROM r{k} r JOIN step t ON t.side = r.side AND t.src = r.host GROUP BY t.side, t.dst)")
+    union = " UNION ALL ".join(f"SELECT host, side, r FROM r{k}" for k in range(rounds + 1))
+    ctes.append(f"ranked AS (SELECT host, round(coalesce(sum(r) FILTER (side = 0), 0), 9) AS trust, round(coalesce(sum(r) FILTER (side = 1), 0), 9) AS distrust FROM ({union}) GROUP BY host)")
+    return ctes
+
+
+def _keeps_sql(max_distrust: float, min_trust: float) -> str:
+    return f"(coalesce(distrust, 0.0) < {max_distrust} OR coalesce(trust > distrust, false)) AND coalesce(trust, 0.0) >= {min_trust}"
 
 
 def sql(trusted: Sequence[str] = TRUSTED, blocked: Sequence[str] = BLOCKED, max_distrust: float = MAX_DISTRUST, min_trust: float = MIN_TRUST, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
-    """The same in DuckDB SQL over the view pages, the rounds unrolled."""
-    at = lambda url: f"nullif(lower(regexp_extract({url}, '{HOST}', 1)), '')"
-    seed = lambda seeds: " OR ".join(f"host = '{s}' OR ends_with(host, '.{s}')" for s in seeds) or "false"
+    """filter_pages() in DuckDB SQL over the view pages."""
+    at = lambda url: f"nullif(regexp_replace(lower(regexp_extract({url}, '{HOST}', 1)), '\\.+$', ''), '')"
     link = LINK.replace("'", "''")
     ctes = [
         f"placed AS MATERIALIZED (SELECT page_id, {at('url')} AS host FROM pages)",
         f"links AS (SELECT {at('url')} AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS target FROM pages)",
         f"edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, {at('target')} AS dst FROM links) WHERE src <> dst GROUP BY src, dst)",
-        "directed AS (SELECT 0 AS side, src, dst, n FROM edges UNION ALL SELECT 1, dst, src, n FROM edges)",
-        "step AS MATERIALIZED (SELECT side, src, dst, n / sum(n) OVER (PARTITION BY side, src) AS share FROM directed)",
         "names AS (SELECT host FROM placed WHERE host IS NOT NULL UNION SELECT src FROM edges UNION SELECT dst FROM edges)",
-        f"seeded AS (SELECT host, 0 AS side, CAST({seed(trusted)} AS DOUBLE) AS seed FROM names UNION ALL SELECT host, 1, CAST({seed(blocked)} AS DOUBLE) FROM names)",
-        "nodes AS MATERIALIZED (SELECT host, side, greatest(sum(seed) OVER (PARTITION BY side), 1.0) AS per, seed / greatest(sum(seed) OVER (PARTITION BY side), 1.0) AS v FROM seeded)",
-        "r0 AS (SELECT host, side, v AS r FROM nodes)",
+        *_rank_ctes(trusted, blocked, rounds, damping),
     ]
-    for k in range(rounds):
-        ctes.append(f"s{k} AS MATERIALIZED (SELECT t.side, t.dst AS host, sum(r.r * t.share) AS got FROM r{k} r JOIN step t ON t.side = r.side AND t.src = r.host GROUP BY t.side, t.dst)")
-        ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT n.host, n.side, {1 - damping} * n.v + {damping} * (coalesce(s.got, 0) + n.v * (1 - coalesce(b.got, 0))) AS r FROM nodes n LEFT JOIN s{k} s ON s.side = n.side AND s.host = n.host LEFT JOIN (SELECT side, sum(got) AS got FROM s{k} GROUP BY side) b ON b.side = n.side)")
-    ctes.append(f"ranked AS (SELECT r.host, round(max(CASE WHEN r.side = 0 THEN r.r * n.per / {1 - damping} END), 9) AS trust, round(max(CASE WHEN r.side = 1 THEN r.r * n.per / {1 - damping} END), 9) AS distrust FROM r{rounds} r JOIN nodes n ON n.host = r.host AND n.side = r.side GROUP BY r.host)")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, p.host AS host, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust, (coalesce(distrust, 0.0) < {max_distrust} OR coalesce(trust > distrust, false)) AND coalesce(trust, 0.0) >= {min_trust} AS keep FROM placed p LEFT JOIN ranked r ON r.host = p.host"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, p.host AS host, coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust, {_keeps_sql(max_distrust, min_trust)} AS keep FROM placed p LEFT JOIN ranked r ON r.host = p.host"
+
+
+def trade_sql(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+    """trade_ranks() in DuckDB SQL over the views customer, orders and lineitem."""
+    ctes = [
+        "bought AS (SELECT 'c' || o_custkey || '.example.com' AS c, 's' || l_suppkey || '.example.com' AS s, l_linenumber = 1 AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+        "edges AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT c AS src, s AS dst FROM bought UNION ALL SELECT s, c FROM bought WHERE back) GROUP BY src, dst)",
+        "names AS (SELECT 'c' || c_custkey || '.example.com' AS host FROM customer UNION SELECT src FROM edges UNION SELECT dst FROM edges)",
+        *_rank_ctes(*TRADE_SEEDS, rounds, damping),
+    ]
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT host, trust, distrust, {_keeps_sql(MAX_DISTRUST, MIN_TRUST)} AS keep FROM ranked"
