@@ -1,14 +1,15 @@
 """FLAC: a decoder to PCM blocks with seekable sample offsets, and an encoder for round trips.
 
-Rice codes and fixed predictors are decoded with array operations frame by
-frame; linear prediction, which is recursive, runs in lock-step over all
-subframes of a batch that have the same order.
+Frames are found by their headers, whose checksum tells them from other bytes, so
+that all frames of many streams are decoded at once: Rice codes and linear
+prediction, which go on from one sample to the next, run in lock-step over them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,21 @@ def _table(poly: int, bits: int) -> list[int]:
 
 
 _CRC8, _CRC16 = _table(0x07, 8), _table(0x8005, 16)
-#: Two bytes a step: the CRC after a 16-bit word, from the CRC xor that word.
-_CRC16_WORD = [((_CRC16[x >> 8] << 8) & 0xFFFF) ^ _CRC16[((_CRC16[x >> 8] >> 8) ^ x) & 0xFF] for x in range(1 << 16)]
+_SPAN = 4096
+
+
+def _spread(table: list[int]) -> np.ndarray:
+    """(_SPAN, 256): what a byte adds to the CRC that so many more bytes follow."""
+    step, out = np.array(table, np.uint16), np.empty((_SPAN, 256), np.uint16)
+    out[0] = step
+    for d in range(1, _SPAN):
+        out[d] = (out[d - 1] << np.uint16(8)) ^ step[out[d - 1] >> np.uint16(8)]
+    return out
+
+
+_CRC16_AT = _spread(_CRC16)
+#: Bytes of streams that are decoded together, and bytes that may follow for a frame's end.
+GROUP, SLACK = 1 << 20, 1 << 21
 _SIZES = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
 _RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
 _DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
@@ -49,109 +63,108 @@ def crc8(data: bytes) -> int:
 
 
 def crc16(data: bytes) -> int:
-    c = 0
-    even = len(data) & ~1
-    for w in np.frombuffer(data, ">u2", even // 2).tolist():
-        c = _CRC16_WORD[c ^ w]
-    if even < len(data):
-        c = ((c << 8) & 0xFFFF) ^ _CRC16[(c >> 8) ^ data[-1]]
+    """CRCs are linear: each byte's part is looked up by its place, and all are added."""
+    c, raw = 0, np.frombuffer(data, np.uint8)
+    for at in range(0, len(raw), _SPAN):
+        part = raw[at : at + _SPAN]
+        n = len(part)
+        own = int(np.bitwise_xor.reduce(_CRC16_AT[np.arange(n - 1, -1, -1), part]))
+        # what came before is a word added to the first two bytes
+        high = _CRC16_AT[n - 1, c >> 8]
+        low = _CRC16_AT[n - 2, c & 0xFF] if n > 1 else (c & 0xFF) << 8
+        c = own ^ int(high) ^ int(low)
     return c
 
 
-class _Bits:
-    """Bits of a frame from a byte offset; more are unpacked as they are asked for."""
-
-    def __init__(self, data: bytes, at: int, expect: int):
-        self.data, self.at, self.p = data, at, 0
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8, min(expect, len(data) - at), at))
-        self.next: list[int] | None = None
-
-    def need(self, n: int) -> None:
-        while self.p + n > len(self.bits):
-            have = len(self.bits) // 8
-            more = min(max(have, 64), len(self.data) - self.at - have)
-            if more <= 0:
-                raise BadFrame("the stream ends within a frame")
-            self.bits = np.concatenate([self.bits, np.unpackbits(np.frombuffer(self.data, np.uint8, more, self.at + have))])
-            self.next = None
-
-    def uint(self, n: int) -> int:
-        self.need(n)
-        v = 0
-        for b in self.bits[self.p : self.p + n].tolist():
-            v = v << 1 | b
-        self.p += n
-        return v
-
-    def sint(self, n: int) -> int:
-        v = self.uint(n)
+class Subframe:
+    """Warm-up samples, residual and predictor, until restore() has filled samples."""
+
+    def __init__(self, samples: np.ndarray | None, wasted: int, order: int = 0, shift: int = 0, coefficients: list[int] | None = None, residual: np.ndarray | None = None, fixed: bool = False):
+        self.samples, self.wasted, self.order, self.shift, self.coefficients, self.residual, self.fixed = samples, wasted, order, shift, coefficients, residual, fixed
+
+
+class _Group:
+    """Bytes of one or more streams as bits, with where the next one is."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        n = len(self.bits)
+        self.next = np.full(n + 64, n, np.int32)
+        ones = np.flatnonzero(self.bits)
+        gaps = np.diff(ones, prepend=-1)
+        self.next[: gaps.sum()] = np.repeat(ones, gaps)
+        padded = np.frombuffer(data + bytes(16), np.uint8).astype(np.uint64)
+        self.words = np.zeros(len(data) + 1, np.uint64)
+        for i in range(8):
+            self.words |= padded[i : i + len(self.words)] << np.uint64(56 - 8 * i)
+
+    def uint(self, at: int, n: int) -> int:
+        last = at + n
+        if last > len(self.bits):
+            raise BadFrame("the stream ends within a frame")
+        return int.from_bytes(self.data[at >> 3 : (last + 7) >> 3], "big") >> (-last & 7) & ((1 << n) - 1)
+
+    def sint(self, at: int, n: int) -> int:
+        v = self.uint(at, n)
         return v - (1 << n) if n and v >> (n - 1) else v
 
-    def ints(self, count: int, n: int) -> np.ndarray:
+    def ints(self, at: int, count: int, n: int) -> np.ndarray:
         """So many signed n-bit numbers."""
         if not n or not count:
             return np.zeros(count, np.int64)
-        self.need(count * n)
-        rows = self.bits[self.p : self.p + count * n].reshape(count, n).astype(np.int64)
-        self.p += count * n
+        if at + count * n > len(self.bits):
+            raise BadFrame("the stream ends within a frame")
+        rows = self.bits[at : at + count * n].reshape(count, n).astype(np.int64)
         v = rows @ (np.int64(1) << np.arange(n - 1, -1, -1, dtype=np.int64))
         return np.where(rows[:, 0] == 1, v - (1 << n), v)
 
-    def unary(self) -> int:
-        n = 0
-        while not self.uint(1):
-            n += 1
-        return n
-
-    def rice(self, count: int, k: int) -> np.ndarray:
-        """So many Rice codes: zeros up to a one, then k bits, folded to signed."""
-        while True:
-            if self.next is None:
-                ones = np.flatnonzero(self.bits)
-                before = np.cumsum(self.bits, dtype=np.int32) - self.bits
-                self.next = np.append(ones, len(self.bits) + 64)[before].tolist()
-            nxt, p, step, stop = self.next, self.p, 1 + k, len(self.bits)
-            ends = []
-            try:
-                for _ in range(count):
-                    q = nxt[p]
-                    ends.append(q)
-                    p = q + step
-            except IndexError:
-                p = stop + 1
-            if p <= stop and (not ends or ends[-1] < stop):
-                break
-            self.need(len(self.bits) - self.p + 1)
-        q = np.array(ends, np.int64)
-        quotient = q - np.concatenate(([self.p], q[:-1] + step))[: len(q)]
-        low = np.zeros(count, np.int64)
-        for i in range(k):
-            low = low << 1 | self.bits[q + 1 + i]
-        self.p = p
-        v = quotient << k | low
-        return (v >> 1) ^ -(v & 1)
-
-
-class Subframe:
-    """Warm-up samples, residual and predictor, until restore() has filled samples."""
-
-    def __init__(self, samples: np.ndarray | None, wasted: int, order: int = 0, shift: int = 0, coefficients: list[int] | None = None, residual: np.ndarray | None = None, fixed: bool = False):
-        self.samples, self.wasted, self.order, self.shift, self.coefficients, self.residual, self.fixed = samples, wasted, order, shift, coefficients, residual, fixed
-
-
-def _subframe(bits: _Bits, n: int, depth: int) -> Subframe:
-    if bits.uint(1):
+    def rice(self, at: Sequence[int], counts: Sequence[int], ks: Sequence[int]) -> tuple[list[np.ndarray], np.ndarray]:
+        """(numbers, end) of lanes of Rice codes: zeros up to a one, then k bits, folded to signed."""
+        order = np.argsort(-np.array(counts, np.int64), kind="stable")
+        p, count, k = (np.array(x, np.int64)[order] for x in (at, counts, ks))
+        lanes, top = len(p), int(count[0]) if len(count) else 0
+        ends, from_, step = np.zeros((top, lanes), np.int64), np.zeros((top, lanes), np.int64), k + 1
+        last = len(self.bits)
+        for t, m in enumerate(np.searchsorted(-count, -np.arange(top), side="left").tolist()):
+            here = p[:m]
+            from_[t, :m] = here
+            q = self.next[np.minimum(here, last)]
+            ends[t, :m] = q
+            p[:m] = q + step[:m]
+        v = ends - from_
+        if lanes and k.any():
+            # the k bits after each one, out of the eight bytes from where they begin
+            at = np.minimum(ends + 1, last)
+            low = self.words[at >> 3] << (at & 7).astype(np.uint64)
+            # a shift by 64 isn't defined, so it is done in two
+            low = low >> np.uint64(1) >> (63 - k).astype(np.uint64)
+            v = v << k | low.astype(np.int64)
+        v = (v >> 1) ^ -(v & 1)
+        out, end = [np.zeros(0, np.int64)] * lanes, np.empty(lanes, np.int64)
+        for lane, to in enumerate(order.tolist()):
+            out[to] = v[: count[lane], lane].copy()
+            end[to] = p[lane]
+        return out, end
+
+
+def _begin(g: _Group, at: int, n: int, depth: int) -> tuple[Subframe, int, int, int]:
+    """A subframe before its residual, where that begins, its number of partitions (0 for none) and their parameters' width."""
+    if g.uint(at, 1):
         raise BadFrame("a subframe begins with 1")
-    kind, wasted = bits.uint(6), 0
-    if bits.uint(1):
-        wasted = bits.unary() + 1
+    kind, wasted = g.uint(at + 1, 6), 0
+    flag = g.uint(at + 7, 1)
+    at += 8
+    if flag:
+        wasted = int(g.next[at]) - at + 1
+        at += wasted
         depth -= wasted
     if depth < 1:
         raise BadFrame("all bits wasted")
     if kind == 0:
-        return Subframe(np.full(n, bits.sint(depth), np.int64), wasted)
+        return Subframe(np.full(n, g.sint(at, depth), np.int64), wasted), at + depth, 0, 0
     if kind == 1:
-        return Subframe(bits.ints(n, depth), wasted)
+        return Subframe(g.ints(at, n, depth), wasted), at + n * depth, 0, 0
     if 8 <= kind <= 12:
         order, fixed = kind - 8, True
     elif kind >= 32:
@@ -160,45 +173,84 @@ def _subframe(bits: _Bits, n: int, depth: int) -> Subframe:
         raise BadFrame("reserved subframe type")
     if order > n:
         raise BadFrame("more warm-up samples than the block has")
-    warm = bits.ints(order, depth)
+    warm = g.ints(at, order, depth)
+    at += order * depth
     shift, coefficients = 0, FIXED[order] if fixed else []
     if not fixed:
-        precision = bits.uint(4) + 1
+        precision = g.uint(at, 4) + 1
         if precision == 16:
             raise BadFrame("reserved precision")
-        shift = bits.sint(5)
+        shift = g.sint(at + 4, 5)
         if shift < 0:
             raise BadFrame("negative shift")
-        coefficients = bits.ints(order, precision).tolist()
-    method = bits.uint(2)
+        coefficients = g.ints(at + 9, order, precision).tolist()
+        at += 9 + order * precision
+    method, parts = g.uint(at, 2), 1 << g.uint(at + 2, 4)
     if method > 1:
         raise BadFrame("reserved residual coding")
-    width = 5 if method else 4
-    parts = 1 << bits.uint(4)
     if n % parts or n // parts < order:
         raise BadFrame("partitions don't divide the block")
-    found = []
-    for i in range(parts):
-        count, k = n // parts - (order if i == 0 else 0), bits.uint(width)
-        found.append(bits.ints(count, bits.uint(5)) if k == (1 << width) - 1 else bits.rice(count, k))
-    out = Subframe(None, wasted, order, shift, coefficients, np.concatenate([warm, *found]), fixed)
-    if fixed:
-        x, state = out.residual[order:], []
-        w = warm
-        for _ in range(order):
-            state.append(int(w[-1]))
-            w = np.diff(w)
-        for last in reversed(state):
-            x = last + np.cumsum(x)
-        out.samples = np.concatenate([warm, x])
-    return out
+    return Subframe(None, wasted, order, shift, coefficients, warm, fixed), at + 6, parts, 5 if method else 4
+
+
+def _decode(g: _Group, frames: list[dict]) -> None:
+    """Fills the subframes of frames (at: bit of the body in g) and their end; those that can't be read get none."""
+    live = [f for f in frames]
+    for c in range(max((f["count"] for f in frames), default=0)):
+        open_ = []
+        for f in live:
+            if c < f["count"] and f["subframes"] is not None:
+                try:
+                    depth = f["depth"] + (c == {8: 1, 9: 0, 10: 1}.get(f["channels"], -1))
+                    sub, f["at"], parts, width = _begin(g, f["at"], f["n"], depth)
+                    f["subframes"].append(sub)
+                    if parts:
+                        open_.append((f, sub, parts, width, [sub.residual]))
+                except BadFrame:
+                    f["subframes"] = None
+        i = 0
+        while open_:
+            lanes = []
+            for f, sub, parts, width, found in open_:
+                try:
+                    count, k = f["n"] // parts - (sub.order if i == 0 else 0), g.uint(f["at"], width)
+                    f["at"] += width
+                    if k == (1 << width) - 1:
+                        bits = g.uint(f["at"], 5)
+                        found.append(g.ints(f["at"] + 5, count, bits))
+                        f["at"] += 5 + count * bits
+                    else:
+                        lanes.append((f, found, count, k))
+                except BadFrame:
+                    f["subframes"] = None
+            if lanes:
+                got, ends = g.rice([f["at"] for f, *_ in lanes], [x[2] for x in lanes], [x[3] for x in lanes])
+                for (f, found, _, _), x, end in zip(lanes, got, ends.tolist()):
+                    found.append(x)
+                    f["at"] = end
+                    if end > len(g.bits):
+                        f["subframes"] = None
+            i += 1
+            for f, sub, parts, _, found in open_:
+                if i == parts and f["subframes"] is not None:
+                    sub.residual = np.concatenate(found)
+            open_ = [x for x in open_ if x[2] > i and x[0]["subframes"] is not None]
+    restore([s for f in frames for s in f["subframes"] or ()])
 
 
 def restore(subframes: Sequence[Subframe], lanes: int = 256) -> None:
-    """Fills the samples of linear-prediction subframes, those of one order in lock-step."""
+    """Fills the samples of predicted subframes: sums for fixed predictors, else those of one order in lock-step."""
     by: dict[int, list[Subframe]] = {}
     for s in subframes:
-        if s.samples is None:
+        if s.samples is None and s.fixed:
+            x, state, w = s.residual[s.order :], [], s.residual[: s.order]
+            for _ in range(s.order):
+                state.append(int(w[-1]))
+                w = np.diff(w)
+            for last in reversed(state):
+                x = last + np.cumsum(x)
+            s.samples = np.concatenate([s.residual[: s.order], x])
+        elif s.samples is None:
             by.setdefault(s.order, []).append(s)
     for order, own in by.items():
         own.sort(key=lambda s: len(s.residual))
@@ -257,17 +309,14 @@ def _header(data: bytes, at: int, rate: int, depth: int, fixed_size: int) -> dic
     return {"offset": number if variable else number * (fixed_size or size), "n": size, "rate": rate, "channels": channels, "depth": depth, "body": p + 1}
 
 
-def parse(data: bytes) -> tuple[dict, list[dict]]:
-    """Stream info and frames of a FLAC stream, predictors not yet restored.
-
-    A frame has offset, n, rate, channels, depth, byte, subframes and ok.  One that
-    can't be read has no subframes; reading goes on at the next valid header.
-    """
+def open_stream(data: bytes) -> tuple[dict, list[dict], int]:
+    """Stream info, the frames that have a valid header, and where the first is due."""
+    start = 0
     if data[:3] == b"ID3" and len(data) > 10:
-        data = data[10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]) :]
-    if data[:4] != b"fLaC":
+        start = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9])
+    if data[start : start + 4] != b"fLaC":
         raise BadFrame("no FLAC stream")
-    info, at, last = {"rate": 0, "depth": 16, "channels": 0, "total": 0, "md5": b"", "min": 0, "max": 0}, 4, False
+    info, at, last = {"rate": 0, "depth": 16, "channels": 0, "total": 0, "md5": b"", "min": 0, "max": 0}, start + 4, False
     while not last and at + 4 <= len(data):
         last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
@@ -275,32 +324,125 @@ def parse(data: bytes) -> tuple[dict, list[dict]]:
             packed = int.from_bytes(body[10:18], "big")
             info = {"min": int.from_bytes(body[:2], "big"), "max": int.from_bytes(body[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "depth": (packed >> 36 & 31) + 1, "total": packed & ((1 << 36) - 1), "md5": body[18:34]}
         at += 4 + size
-    frames = []
-    while at < len(data):
+    found, first = [], at
+    at = data.find(b"\xff", at)
+    while at >= 0:
         try:
             h = _header(data, at, info["rate"], info["depth"], info["min"] if info["min"] == info["max"] else 0)
-            count = h["channels"] + 1 if h["channels"] < 8 else 2
-            bits = _Bits(data, h["body"], h["n"] * count * (h["depth"] + 1) // 8 + 64)
-            subs = [_subframe(bits, h["n"], h["depth"] + (i == {8: 1, 9: 0, 10: 1}.get(h["channels"], -1))) for i in range(count)]
-            end = h["body"] + -(-bits.p // 8)
-            if end + 2 > len(data):
-                raise BadFrame("the stream ends within a frame")
-            ok = crc16(data[at:end]) == int.from_bytes(data[end : end + 2], "big")
-            frames.append(h | {"byte": at, "subframes": subs, "ok": ok})
-            at = end + 2
+            found.append(h | {"byte": at, "count": h["channels"] + 1 if h["channels"] < 8 else 2, "subframes": [], "ok": False})
         except BadFrame:
-            if frames or data[at : at + 1]:
-                start = at
-                at += 1
-                while (at := data.find(b"\xff", at)) >= 0:
-                    try:
-                        _header(data, at, info["rate"], info["depth"], info["min"] if info["min"] == info["max"] else 0)
-                        break
-                    except BadFrame:
-                        at += 1
-                frames.append({"byte": start, "subframes": [], "ok": False, "offset": None, "n": None, "rate": info["rate"], "channels": None, "depth": info["depth"]})
-                if at < 0:
-                    break
+            pass
+        at = data.find(b"\xff", at + 1)
+    return info, found, first
+
+
+def _settle(data: bytes, found: list[dict], at: int, upto: int, info: dict) -> tuple[list[dict], int]:
+    """(frames, where the next is due): decoded frames in order, those within an intact one left out.
+
+    Bytes from at to upto that no frame accounts for come as a frame without subframes.
+    """
+    out: list[dict] = []
+
+    def gap(start: int) -> None:
+        out.append({"byte": start, "subframes": [], "ok": False, "offset": None, "n": None, "rate": info["rate"], "channels": None, "depth": info["depth"]})
+
+    for i, f in enumerate(found):
+        if f["byte"] < at:
+            continue
+        if f["byte"] > at:
+            gap(at)
+        following, end = found[i + 1]["byte"] if i + 1 < len(found) else upto, f["end"]
+        if f["subframes"] is None or end + 2 > len(data):
+            # its header is sound, its samples can't be read
+            gap(f["byte"])
+            at = following
+            continue
+        f["ok"] = crc16(data[f["byte"] : end]) == int.from_bytes(data[end : end + 2], "big")
+        out.append(f)
+        # a damaged frame may seem longer than it is: the next header is its end
+        at = end + 2 if f["ok"] else min(end + 2, following)
+    if at < upto:
+        gap(at)
+    return out, max(at, upto)
+
+
+def frames_of(streams: list[bytes]) -> Iterator[tuple[int, dict | None, list[dict]]]:
+    """Yields (stream, info, frames) in order, a long stream in several parts; info is None for what is no stream."""
+    opened: list[tuple[int, dict, list[dict], int]] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[int, dict | None, list[dict]]]:
+        nonlocal size
+        group = _Group(b"".join(streams[i] for i, *_ in opened))
+        base = 0
+        for i, _, found, _ in opened:
+            for f in found:
+                f["at"] = (base + f["body"]) * 8
+            base += len(streams[i])
+        _decode(group, [f for _, _, found, _ in opened for f in found])
+        base = 0
+        for i, info, found, at in opened:
+            for f in found:
+                f["end"] = -(-f["at"] // 8) - base
+            base += len(streams[i])
+            yield i, info, _settle(streams[i], found, at, len(streams[i]), info)[0]
+        opened.clear()
+        size = 0
+
+    for i, data in enumerate(streams):
+        try:
+            info, found, at = open_stream(data)
+        except BadFrame:
+            yield from flush()
+            yield i, None, []
+            continue
+        if len(data) > GROUP:
+            yield from flush()
+            yield from _long(i, data, info, found, at)
+            continue
+        if size + len(data) > GROUP:
+            yield from flush()
+        opened.append((i, info, found, at))
+        size += len(data)
+    yield from flush()
+
+
+def _long(i: int, data: bytes, info: dict, found: list[dict], at: int) -> Iterator[tuple[int, dict | None, list[dict]]]:
+    """A long stream, its frames decoded by groups of so many bytes."""
+    k = 0
+    while k < len(found) or at < len(data):
+        to = k
+        while to < len(found) and found[to]["byte"] < found[k]["byte"] + GROUP:
+            to += 1
+        some = found[k:to]
+        if some:
+            start = some[0]["byte"]
+            for f in some:
+                f["at"] = (f["body"] - start) * 8
+            _decode(_Group(data[start : start + GROUP + SLACK]), some)
+            for f in some:
+                f["end"] = -(-f["at"] // 8) + start
+        out, at = _settle(data, some, at, found[to]["byte"] if to < len(found) else len(data), info)
+        yield i, info, out
+        k = to
+        while k < len(found) and found[k]["byte"] < at:
+            k += 1
+    if not found and at >= len(data):
+        yield i, info, []
+
+
+def parse(data: bytes) -> tuple[dict, list[dict]]:
+    """Stream info and frames of a FLAC stream.
+
+    A frame has offset, n, rate, channels, depth, byte, subframes and ok.  What
+    can't be read has no subframes; reading goes on at the next valid header.
+    """
+    info, frames = None, []
+    for _, got, some in frames_of([data]):
+        if got is None:
+            raise BadFrame("no FLAC stream")
+        info = got
+        frames += some
     return info, frames
 
 
@@ -323,49 +465,95 @@ def pcm_bytes(x: np.ndarray, depth: int) -> bytes:
     return np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-_KIND = "block bigint, sample_offset bigint, n_samples bigint, byte_offset bigint, sample_rate int, channels int, bits int, crc_ok boolean, pcm binary"
+_KIND = "block bigint, sample_offset bigint, n_samples bigint, byte_offset bigint, sample_rate int, channels int, bits int, crc_ok boolean, stream_ok boolean, pcm binary"
+_TYPES = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.bool_(), pa.binary()]
 
 
 def decode(media: DataFrame, column: str = "flac") -> DataFrame:
-    """The other columns of media with (block, sample_offset, n_samples, byte_offset, sample_rate, channels, bits, crc_ok, pcm), a row for each frame.
+    """The other columns of media with (block, sample_offset, n_samples, byte_offset, sample_rate, channels, bits, crc_ok, stream_ok, pcm), a row for each frame.
 
     sample_offset is a block's first sample in the stream, so that a range is
     read by seek() without decoding what is before it; pcm has signed
     little-endian samples, channels interleaved.  crc_ok tells that header and
     frame checksums agree; a frame that disagrees is marked and decoded all the
-    same; one that can't be read gives null offset and pcm.  Null or empty media
-    and streams without frames give no rows; bytes that are no FLAC stream give
-    one row with crc_ok false and the rest null.  Rows that are repeated are decoded
-    repeatedly.  Columns of media named like an output column are replaced.
+    same, up to the next valid header; bytes that can't be read give null offset
+    and pcm.  stream_ok stands in a stream's last row: whether its number of
+    samples and MD5 are those of its header and all frames are sound (null where
+    the header has neither).  Null or empty media and streams without frames or
+    samples give no rows; bytes that are no FLAC stream, or a header that promises
+    samples alone, give one row with crc_ok false and the rest null.  Rows that are
+    repeated are decoded repeatedly.  Columns of media named like an output column
+    are replaced.
     """
     made = [x.split(" ")[0] for x in _KIND.split(", ")]
     kept = [c for c in media.columns if c != column and c.lower() not in made]
     kind = ", ".join([f"`{c}` {media.schema[c].dataType.simpleString()}" for c in kept] + [_KIND])
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, frames = [], []
-        for i, raw in enumerate(b.column(b.schema.names.index("_glyphgrid_flac"))):
-            data = raw.as_py()
-            if not data:
-                continue
-            try:
-                found = parse(data)[1]
-            except BadFrame:
-                found = [{"byte": None, "subframes": [], "ok": False, "offset": None, "n": None, "rate": None, "channels": None, "depth": None, "none": True}]
-            for k, f in enumerate(found):
-                rows.append(i)
-                frames.append((None if "none" in f else k, f))
-        restore([s for _, f in frames for s in f["subframes"]])
-        out = []
-        for k, f in frames:
-            x = channels(f) if f["subframes"] else None
-            out.append((k, f["offset"], f["n"], f["byte"], f["rate"], None if x is None else x.shape[1], f["depth"], f["ok"], None if x is None else pcm_bytes(x, f["depth"])))
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
-        at = pa.array(rows, pa.int64())
-        cols = [b.column(i).take(at) for i in range(len(kept))] + [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)]
-        return pa.RecordBatch.from_arrays(cols, names=kept + made)
-
-    return media.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_glyphgrid_flac")).mapInArrow(per_slice(run, 256), kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield from one(batch.slice(at, 256))
+
+    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw = b.column(b.schema.names.index("_glyphgrid_flac")).to_pylist()
+        rows = [i for i, x in enumerate(raw) if x]
+        at, out, size = [], [], 0
+        state: dict = {}
+
+        def batch_of() -> pa.RecordBatch:
+            where = pa.array(at, pa.int64())
+            cols = [b.column(i).take(where) for i in range(len(kept))] + [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
+            return pa.RecordBatch.from_arrays(cols, names=kept + made)
+
+        def close() -> None:
+            if state:
+                info, own = state["info"], state["last"]
+                known = bool(info["total"] or info["md5"].strip(b"\0"))
+                if own is None and info["total"]:
+                    at.append(state["row"])
+                    out.append((None, None, None, None, None, None, None, False, False, None))
+                elif own is not None and known:
+                    sound = state["sound"] and info["total"] in (0, state["n"]) and (not info["md5"].strip(b"\0") or state["md5"].digest() == info["md5"])
+                    at.append(state["row"])
+                    out.append((*own[:8], sound, own[9]))
+                elif own is not None:
+                    at.append(state["row"])
+                    out.append(own)
+            state.clear()
+
+        for k, info, frames in frames_of([raw[i] for i in rows]):
+            i = rows[k]
+            if state.get("row") != i:
+                close()
+                if info is None:
+                    at.append(i)
+                    out.append((None, None, None, None, None, None, None, False, None, None))
+                    continue
+                state.update(row=i, info=info, last=None, sound=True, n=0, block=0, md5=hashlib.md5())
+            for f in frames:
+                if state["last"] is not None:
+                    at.append(i)
+                    out.append(state["last"])
+                x = channels(f) if f["subframes"] else None
+                pcm = None if x is None else pcm_bytes(x, f["depth"])
+                state["last"] = (state["block"], f["offset"], f["n"], f["byte"], f["rate"], None if x is None else x.shape[1], f["depth"], f["ok"], None, pcm)
+                state["block"] += 1
+                state["sound"] &= f["ok"]
+                if x is not None:
+                    state["n"] += len(x)
+                    state["md5"].update(pcm)
+                    size += len(pcm)
+                f["subframes"] = None
+                if size > GROUP * 8:
+                    yield batch_of()
+                    at.clear()
+                    out.clear()
+                    size = 0
+        close()
+        if out:
+            yield batch_of()
+
+    return media.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_glyphgrid_flac")).mapInArrow(run, kind)
 
 
 def seek(blocks: DataFrame, first: int, last: int) -> DataFrame:
@@ -376,8 +564,9 @@ def seek(blocks: DataFrame, first: int, last: int) -> DataFrame:
 # the encoder
 
 
+@lru_cache(maxsize=4096)
 def _put(value: int, width: int) -> np.ndarray:
-    return np.array([value >> i & 1 for i in range(width - 1, -1, -1)], np.uint8)
+    return np.unpackbits(np.frombuffer(value.to_bytes((width + 7) // 8, "big"), np.uint8))[-width:]
 
 
 def _put_ints(x: np.ndarray, width: int) -> np.ndarray:
@@ -390,21 +579,21 @@ def _put_rice(x: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
     one = end - k - 1
     out[one] = 1
-    for i in range(k):
-        out[one + 1 + i] = v >> (k - 1 - i) & 1
+    if k:
+        out[(one[:, None] + np.arange(1, k + 1)).ravel()] = (v[:, None] >> np.arange(k - 1, -1, -1) & 1).ravel()
     return out
 
 
 def _predictor(x: np.ndarray, order: int, precision: int = 12) -> tuple[list[int], int]:
     """Quantised coefficients and shift by Levinson-Durbin recursion."""
     f = x.astype(np.float64)
-    r = np.array([float(f[: len(f) - i] @ f[i:]) for i in range(order + 1)])
-    a, err = np.zeros(order), r[0] * 1.0000001 + 1e-9
+    r = [float(f[: len(f) - i] @ f[i:]) for i in range(order + 1)]
+    c, err = [0.0] * order, r[0] * 1.0000001 + 1e-9
     for i in range(order):
-        k = (r[i + 1] - a[:i] @ r[i:0:-1]) / err
-        a[:i] = a[:i] - k * a[:i][::-1]
-        a[i] = k
+        k = (r[i + 1] - sum(c[j] * r[i - j] for j in range(i))) / err
+        c[: i + 1] = [c[j] - k * c[i - 1 - j] for j in range(i)] + [k]
         err *= max(1 - k * k, 1e-9)
+    a = np.array(c)
     shift = int(max(0, min(14, precision - 1 - np.ceil(np.log2(max(np.abs(a).max(), 1e-9) + 1e-12)) - 1)))
     top = (1 << (precision - 1)) - 1
     return np.clip(np.round(a * (1 << shift)), -top - 1, top).astype(int).tolist(), shift
@@ -427,7 +616,10 @@ def _put_subframe(x: np.ndarray, depth: int, lpc: int, kind: str | None, parts:
     depth -= wasted
     tail = [_put(1, wasted)] if wasted else []
     flag = [_put(1 if wasted else 0, 1), *tail]
-    tried = [(f"fixed{o}", FIXED[o], 0, _residual(x, FIXED[o], 0)) for o in range(min(5, n))]
+    tried, rest = [], x
+    for o in range(min(5, n)):
+        tried.append((f"fixed{o}", FIXED[o], 0, rest))
+        rest = np.diff(rest)
     if lpc and n > lpc:
         c, shift = _predictor(x, lpc)
         tried.append(("lpc", c, shift, _residual(x, c, shift)))
@@ -494,13 +686,13 @@ def spoken(turns: DataFrame, text: str = "text", block: int = 1024) -> DataFrame
     """turns with a column flac in place of the text: its UTF-8 bytes as signed 8-bit samples.
 
     The test tables hold no audio; this gives a media column of known content.
-    A null text has null media.
+    A null text has null media.  A column flac of turns is replaced.
     """
     kept = [c for c in turns.columns if c not in (text, "flac")]
     kind = ", ".join([f"`{c}` {turns.schema[c].dataType.simpleString()}" for c in kept] + ["flac binary"])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        made = [None if t is None else encode(np.frombuffer(t.encode("utf-8", "replace"), np.int8), 8000, 8, block) for t in b.column(len(kept)).to_pylist()]
+        made = [None if t is None else encode(np.frombuffer(t.encode("utf-8", "replace"), np.int8), 8000, 8, block, lpc=4, parts=1) for t in b.column(len(kept)).to_pylist()]
         return pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(made, pa.binary())], names=[*kept, "flac"])
 
     return turns.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(per_slice(run, 256), kind)
