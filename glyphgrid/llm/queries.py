@@ -15,10 +15,15 @@ def op1_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrank.filter_pages(table(spark, sf_dir, "pages"))
 
 
+def host_rank_trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of op1 on a graph with links between hosts, which pages have none of."""
+    return hostrank.trade_ranks(*(table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")))
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn's bytes as a FLAC recording, decoded again."""
     turns = flac.spoken(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-    return flac.decode(turns).select("conv_id", "turn", "block", "sample_offset", "n_samples", "crc_ok", F.hex("pcm").alias("pcm"))
+    return flac.decode(turns).select("conv_id", "turn", "block", "sample_offset", "n_samples", "crc_ok", "stream_ok", F.hex("pcm").alias("pcm"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,16 +62,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, f in globals().items() if n.startswith("op")}
+    own = {n: f for n, f in globals().items() if n.startswith("op")}
+    return own | {"host_rank_trade_graph": host_rank_trade_graph}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_host_rank": hostrank.sql(),
+        "host_rank_trade_graph": hostrank.trade_sql(),
         "op8_rotated_codes": rabitq.sql(),
         "op2_flac": """
             WITH t AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations)
             SELECT conv_id, turn, b AS block, b * 1024 AS sample_offset, least(1024, length(h) // 2 - b * 1024) AS n_samples,
-                   true AS crc_ok, substr(h, CAST(b * 2048 + 1 AS BIGINT), 2048) AS pcm
+                   true AS crc_ok, CASE WHEN b = (length(h) // 2 - 1) // 1024 THEN true END AS stream_ok, substr(h, CAST(b * 2048 + 1 AS BIGINT), 2048) AS pcm
             FROM t, unnest(range((length(h) // 2 + 1023) // 1024)) AS u(b)""",
     }
