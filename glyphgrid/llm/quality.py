@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphgrid.llm.common import per_slice
+from glyphgrid.llm.common import cut, per_slice
 from glyphgrid.llm.wordhash import mix, ngrams, word_hashes
 
 BITS = 18
@@ -98,21 +98,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS, epochs: int = 3) -> np.ndarray:
     """Fits the weights on labelled documents.
 
-    ``rows`` bounds the labelled sample: the rows of least hash of doc_id, whatever
-    the size of the corpus.  Labels with a null doc_id or quality are left out;
-    a doc_id labelled twice counts once, with its least quality.  Without labels
-    all weights are 0.
+    ``rows`` bounds the labelled sample: of the documents that are there and
+    labelled, those of least hash of doc_id, whatever the size of the corpus.
+    Labels with a null doc_id or quality are left out; a doc_id labelled twice
+    counts once, with its least quality.  Of rows that repeat a doc_id the one of
+    least text (null texts last) is learnt from; equal hashes go by doc_id.
+    Without labels of documents that are there all weights are 0.  Columns but
+    doc_id, text and quality are ignored.
     """
-    sample = (
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg((F.min("quality") > 0).cast("int").alias("y"))
-        .withColumn("h", F.xxhash64("doc_id"))
-        .orderBy("h", "doc_id")
-        .limit(rows)
     )
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # ids alone meet the labels; the sample is bounded after that
+    there = own.select("doc_id").where("doc_id IS NOT NULL").distinct().join(known, "doc_id")
+    sample = cut(there.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows))
     # at most `rows` small rows, so broadcasting them is safe at every size
-    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("h", "doc_id", "y", "text")
+    labelled = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text")).select("h", "doc_id", "y", "text")
 
     def extract(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column("text").to_pylist()

@@ -62,3 +62,41 @@ def test_bound_is_on_the_sample_alone(spark, make_docs):
     docs, labels = make_docs([(i, t, "a") for i, t, _ in rows]), spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
     assert not np.array_equal(quality.train(docs, labels, rows=30), quality.train(docs, labels))
     assert quality.score(docs, quality.train(docs, labels, rows=30)).count() == 60
+
+
+def test_labels_without_documents_do_not_use_up_the_sample(spark, make_docs):
+    rows = labelled(100, 4)
+    docs = make_docs([(i, t, "a") for i, t, _ in rows] + [(rows[0][0], "zz later text", "a"), (rows[0][0], None, "a"), (None, "x", "a")])
+    own = [(i, y, 0) for i, _, y in rows]
+    labels = spark.createDataFrame(own + [(10_000_000 + i, 1, 0) for i in range(20_000)], "doc_id bigint, quality int, toxic int")
+    w = quality.train(docs, labels, rows=50)
+    assert w.any() and np.array_equal(w, quality.train(docs, spark.createDataFrame(own, labels.schema), rows=50))
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, _, y) in zip(quality.scores([t for _, t, _ in rows], w), rows)]) > 0.9
+
+
+def test_ftrl_against_a_plain_run():
+    """The update of McMahan et al., one slot at a time."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(40, rng.integers(1, 9), replace=False)), None, int(rng.integers(0, 2))) for _ in range(120)]
+    rows = [(s, rng.integers(1, 4, len(s)).astype(float), y) for s, _, y in rows]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    good = sum(y for *_, y in rows)
+    per = {1: len(rows) / (2 * good), 0: len(rows) / (2 * (len(rows) - good))}
+    for _ in range(3):
+        for slots, counts, y in rows:
+            x = {0: 1.0} | {int(s) + 1: c / counts.sum() ** 0.5 for s, c in zip(slots, counts)}
+            p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                w, g = weight(i), (p - y) * v * per[y]
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w
+                n[i] += g * g
+    want = np.array([weight(i) for i in range(65)])
+    assert np.allclose(quality.fit(rows, bits=6, epochs=3), want, atol=1e-5) and (want != 0).sum() > 20
