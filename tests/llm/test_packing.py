@@ -1,6 +1,7 @@
+import duckdb
 import numpy as np
 
-from glyphgrid.llm import packing
+from glyphgrid.llm import packing, queries
 
 
 def slow_pack(demand, limits):
@@ -16,7 +17,7 @@ def slow_pack(demand, limits):
             can = [i for i in todo if all(demand[i][k] <= left[k] for k in range(3))]
             if not can:
                 break
-            best = max(can, key=lambda i: (round(sum(demand[i][k] / limits[k] * mean[k] * left[k] / limits[k] for k in range(3)), 12), -i))
+            best = max(can, key=lambda i: (round(sum(demand[i][k] / limits[k] * mean[k] * left[k] / limits[k] for k in range(3)), 9), -i))
             pack[best] = number
             left = [left[k] - demand[best][k] for k in range(3)]
             todo.remove(best)
@@ -32,7 +33,7 @@ def test_heuristic_matches_plain_loops():
         d = np.stack([rng.integers(0, 900, 80), rng.integers(1, 6, 80), rng.integers(0, 700, 80)], 1)
         d[7] = d[9] = d[11]
         d[3] = [5000, 1, 1]
-        pack, fits = packing.pack_vectors(d, (1000, 8, 800))
+        pack, fits, when = packing.pack_vectors(d, (1000, 8, 800))
         assert pack.tolist() == slow_pack(d.tolist(), (1000, 8, 800))
         assert fits.tolist() == [i != 3 for i in range(80)]
 
@@ -62,3 +63,30 @@ def test_conversations_and_edges(spark, edge, empty):
     assert sum(len(r["ids"]) for r in packs) == edge.count()
     assert all(len(r["texts"]) == len(r["ids"]) for r in packs)
     assert packing.pack(packing.document_examples(empty), texts=True).count() == 0
+
+
+def test_copies_beyond_a_shard_are_dealt_out(spark):
+    rows = [(7, 10, 1, 5)] * 900 + [(None, 0, 1, 0)] * 400 + [(1000 + i, 100, 2, 50) for i in range(200)]
+    df = spark.createDataFrame([(*r, f"t{r[0]}") for r in rows], "id bigint, tokens bigint, segments bigint, loss bigint, text string")
+    for texts in (False, True):
+        got = packing.pack(df, (1000, 16, 800), shard_rows=100, texts=texts).collect()
+        ids = [i for r in got for i in r["ids"]]
+        assert len(ids) == len(rows) and ids.count(7) == 900 and ids.count(None) == 400
+        assert all(r["n_segments"] <= 16 and r["n_tokens"] <= 1000 for r in got)
+        per = {}
+        for r in got:
+            per[r["pack_id"] >> 32] = per.get(r["pack_id"] >> 32, 0) + len(r["ids"])
+        assert max(per.values()) < 500 and len(per) > 5
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    """The recursion in SQL places all conversations alike, in one shard and in many."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    key = lambda r: (r[0], r[1])
+    for rows in (packing.SHARD_ROWS, 30):
+        own = packing.members(packing.pack(packing.conversation_examples(turns), shard_rows=rows)).collect()
+        want = con.execute(packing.sql(shard_rows=rows)).fetchall()
+        assert sorted(map(tuple, own), key=key) == sorted(want, key=key) and len(want) > 50
+    assert queries.oracle_sql()["op4_packing"] == packing.sql()
