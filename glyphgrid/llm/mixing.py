@@ -25,7 +25,7 @@ from glyphgrid.llm.wordhash import _MIX1, _MIX2, SPACE, mix
 
 BLOCK_TOKENS, SHARD_SLOTS, TEMPERATURE = 512, 1024, 0.7
 #: A source is cut into streams of about so many tokens that are blocked in parallel; one block in 488 is short.
-STREAM_TOKENS = 2_000_000
+STREAM_TOKENS = 250_000
 #: With more sources than this their list is joined, not broadcast.
 MAX_BROADCAST_SOURCES = 100_000
 #: Slots are numbered within groups of so many shards, and groups among each other.
