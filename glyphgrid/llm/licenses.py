@@ -112,3 +112,36 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
     kind = "doc_id bigint, license string, rule int, priority int, start bigint, end bigint, match string"
     return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(per_slice(run), kind)
+
+
+def _re2(pattern: str) -> tuple[str, str]:
+    """A rule's pattern without its closing negative lookahead, which RE2 lacks, and what that forbids."""
+    pattern = pattern.replace(r"(?:(?!\n\s*\n|neither\s+the\s+name\s+of)[\s\S])+?", r"(?:[^\n]|\n[ \t\r]*[^\s])+?")
+    at = pattern.rfind("(?!")
+    return (pattern, "") if at < 0 else (pattern[:at], pattern[at + 3 : -1])
+
+
+def sql() -> str:
+    """scan() in DuckDB SQL over the view documents.
+
+    Every match is found with what lies before it, so that lengths add up to
+    offsets; what a lookahead forbids is matched too where it is there, and the
+    match left out.
+    """
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = []
+    for r in parse():
+        own, forbidden = _re2(r.regex.pattern)
+        rows.append(f"({r.number}, {quote(r.license)}, {r.priority}, {quote(r.keyword)}, {quote(f'(?is)(.*?)({own})((?:{forbidden})?)')})")
+    stays = lambda level, free: f"s{level} AS MATERIALIZED (SELECT * FROM (SELECT *, max(e) OVER (PARTITION BY row_ ORDER BY s, e DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {free}) WHERE reach IS NULL OR e > reach)"
+    apart = lambda level, above: f"(SELECT * FROM m WHERE priority = {level} AND NOT EXISTS (FROM ({above}) h WHERE h.row_ = m.row_ AND m.s < h.e AND h.s < m.e))"
+    return f"""
+WITH rules(rule, license, priority, keyword, pattern) AS (VALUES {", ".join(rows)}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row_, doc_id, text, trim(regexp_replace(replace(lower(text), '-', ' '), '\\s+', ' ', 'g')) AS plain FROM documents WHERE text IS NOT NULL),
+hit AS MATERIALIZED (SELECT row_, doc_id, text, rule, license, priority, regexp_extract_all(text, pattern, 1) AS before, regexp_extract_all(text, pattern, 2) AS own, regexp_extract_all(text, pattern, 3) AS after FROM d JOIN rules ON contains(plain, keyword)),
+part AS (SELECT row_, doc_id, rule, license, priority, generate_subscripts(own, 1) AS i, unnest(before) AS b, unnest(own) AS o, unnest(after) AS a FROM hit),
+m AS MATERIALIZED (SELECT row_, doc_id, rule, license, priority, CAST(e - length(o) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, o FROM (SELECT *, sum(length(b) + length(o) + length(a)) OVER (PARTITION BY row_, rule ORDER BY i) - length(a) AS e FROM part) WHERE a = ''),
+{stays(3, "(SELECT * FROM m WHERE priority = 3)")},
+{stays(2, apart(2, "SELECT * FROM s3"))},
+{stays(1, apart(1, "SELECT * FROM s3 UNION ALL SELECT * FROM s2"))}
+SELECT doc_id, license, rule, priority, s AS start, e AS "end", o AS match FROM (SELECT * FROM s3 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s1)"""

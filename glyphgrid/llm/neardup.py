@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphgrid.llm.common import cut, per_slice, runs
-from glyphgrid.llm.wordhash import mix, ngrams, word_hashes
+from glyphgrid.llm.wordhash import _BASE, _MIX1, _MIX2, mix, ngrams, word_hashes
 
 K, RADIUS, CHUNKS, ERRORS, SHINGLE = 64, 26, 14, 1, 3
 #: So many ids of documents to drop, 16 bytes each in memory, are broadcast at most; more meet the texts in a shuffle.
@@ -340,3 +340,40 @@ def drop_near(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     ordered = [F.col("text"), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]]
     first = shown.groupBy(key.alias(name)).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*ordered)).alias("_glyphgrid_row"))
     return once.unionByName(first.select("_glyphgrid_row.*"))
+
+
+def sql(what: str = "groups", radius: int = RADIUS) -> str:
+    """groups() or pairs() in DuckDB SQL over the view documents: signatures from the texts, all pairs of them, and their closure."""
+    mask, base = "18446744073709551615::UHUGEINT", f"{int(_BASE)}::UHUGEINT"
+    mul = lambda x, y: f"CAST((({x})::UHUGEINT * {y}::UHUGEINT) & {mask} AS UBIGINT)"
+    mixed = lambda x, n: f"{x} AS {n}0, xor({n}0, {n}0 >> 30) AS {n}1, {mul(f'{n}1', int(_MIX1))} AS {n}2, xor({n}2, {n}2 >> 27) AS {n}3, {mul(f'{n}3', int(_MIX2))} AS {n}4, xor({n}4, {n}4 >> 31) AS {n}"
+    horner = lambda values, start: f"CAST(list_reduce({values}, lambda x, y: (x * {base} + y) & {mask}, {start}) AS UBIGINT)"
+    coded = "list_reverse(list_transform(range(0, length(code) // 2), lambda i: (CAST('0x' || substr(code, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 1)::UHUGEINT))"
+    seeds = ", ".join(f"({k}, {int(s)}::UBIGINT)" for k, s in enumerate(_SEEDS))
+    step = f"(x * {base} + y) & {mask}"
+    result = "SELECT doc_id, class_id, group_id, n_rows, n_links, doc_id = group_id AS keep FROM doc JOIN grouped USING (doc_id)"
+    if what == "pairs":
+        result = "SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, distance FROM pair JOIN (SELECT DISTINCT one, rep FROM inside) x ON x.one = a JOIN (SELECT DISTINCT one, rep FROM inside) y ON y.one = b"
+    return f"""
+WITH RECURSIVE seed(k, s) AS (VALUES {seeds}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row_, doc_id, lower(text) AS low, regexp_extract_all(low, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS found, regexp_replace(low, '^\\s+|\\s+$', '', 'g') AS bare FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+own AS MATERIALIZED (SELECT row_, doc_id, len(found) > 0 AS plain, CASE WHEN len(found) > 0 THEN found ELSE ['x' || lower(hex(encode(bare)))] END AS found FROM d WHERE len(found) > 0 OR bare <> ''),
+w AS MATERIALIZED (SELECT row_, plain, len(found) AS n, unnest(found) AS word, generate_subscripts(found, 1) AS i FROM own),
+h AS MATERIALIZED (SELECT word, {mixed(horner(coded, "0::UHUGEINT"), "h")} FROM (SELECT word, hex(encode(word)) AS code FROM (SELECT DISTINCT word FROM w))),
+t AS MATERIALIZED (SELECT row_, plain, n, i, h FROM w JOIN h USING (word)),
+g0 AS (SELECT row_, CAST(({base} * (({base} * h + lead(h) OVER o) & {mask}) + lead(h, 2) OVER o) & {mask} AS UBIGINT) AS x, i + {SHINGLE - 1} <= n AS whole FROM t WHERE plain AND n >= {SHINGLE} WINDOW o AS (PARTITION BY row_ ORDER BY i)),
+g1 AS (SELECT row_, x FROM g0 WHERE whole UNION ALL SELECT row_, CAST(list_reduce(list(h::UHUGEINT ORDER BY i), lambda x, y: {step}, any_value(n)::UHUGEINT) AS UBIGINT) FROM t WHERE plain AND n < {SHINGLE} GROUP BY row_),
+g AS MATERIALIZED (SELECT DISTINCT row_, m FROM (SELECT row_, {mixed("x", "m")} FROM g1)),
+least AS (SELECT row_, k, min({mul("xor(m, s)", "(s | 1::UBIGINT)")}) AS x FROM g, seed GROUP BY row_, k),
+sig AS MATERIALIZED (SELECT row_, k, m >> 48 AS v FROM (SELECT row_, k, {mixed("x", "m")} FROM (SELECT row_, k, x FROM least UNION ALL SELECT row_, k, xor(xor(s, h), {int(_BLANK)}::UBIGINT) FROM t, seed WHERE NOT plain))),
+text_ AS (SELECT row_, string_agg(v, ',' ORDER BY k) AS sig FROM sig GROUP BY row_),
+inside AS MATERIALIZED (SELECT DISTINCT doc_id, sig, count(*) OVER (PARTITION BY sig) AS n_rows, min(doc_id) OVER (PARTITION BY sig) AS rep, max(doc_id) OVER (PARTITION BY sig) AS far, min(row_) OVER (PARTITION BY sig) AS one FROM text_ JOIN own USING (row_)),
+p AS MATERIALIZED (SELECT c.one, k, v FROM (SELECT DISTINCT one FROM inside) c JOIN sig ON sig.row_ = c.one),
+pair AS MATERIALIZED (SELECT a.one AS a, b.one AS b, {K} - count(*) AS distance FROM p a JOIN p b ON a.k = b.k AND a.v = b.v AND a.one < b.one GROUP BY a.one, b.one HAVING {K} - count(*) <= {radius}),
+link AS (SELECT one, count(*) AS n FROM (SELECT a AS one FROM pair UNION ALL SELECT b FROM pair) GROUP BY one),
+doc AS MATERIALIZED (SELECT doc_id, min(rep) AS class_id, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_links FROM inside LEFT JOIN link USING (one) WHERE rep <> far OR n > 0 GROUP BY doc_id),
+edge AS MATERIALIZED (SELECT a, b FROM pair UNION SELECT b, a FROM pair UNION SELECT x.one, y.one FROM inside x JOIN inside y ON x.doc_id = y.doc_id AND x.one <> y.one),
+reach AS (SELECT a AS one, a AS other FROM edge UNION SELECT reach.one, edge.b FROM reach JOIN edge ON edge.a = reach.other),
+root AS (SELECT r.one, min(i.rep) AS root FROM reach r JOIN inside i ON i.one = r.other GROUP BY r.one),
+grouped AS (SELECT doc_id, min(coalesce(root, rep)) AS group_id FROM inside LEFT JOIN root USING (one) GROUP BY doc_id)
+{result}"""

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,16 @@ STABLE = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}\p{N}])"
 CHUNK, OVERLAP, WIDER = 32_768, 256, 8
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The tokenizer, and the number of bytes of each token."""
+def vocabulary(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, some megabytes at most; it is read where the job is made and goes to the executors with it."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+@lru_cache(maxsize=2)
+def encoding(content: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The tokenizer of a vocabulary, and the number of bytes of each token."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         lengths[rank] = len(token)
@@ -53,13 +59,13 @@ def spans(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [(max(0, at - overlap), min(n, at + chunk + overlap)) for at in range(0, n, chunk)]
 
 
-def boundaries(text: str, start: int, first: int, last: int, path: str = VOCABULARY) -> tuple[int, list[tuple[int, int]]]:
+def boundaries(text: str, start: int, first: int, last: int, content: bytes) -> tuple[int, list[tuple[int, int]]]:
     """(tokens of text, [(position, tokens before it)]) for stable token boundaries.
 
     start is where text begins in its document; positions are the document's,
     those below first or from last on are left out but for what lies between.
     """
-    enc, lengths = encoding(path)
+    enc, lengths = encoding(content)
     tokens = np.array(enc.encode_ordinary(text), np.int64)
     ends = np.cumsum(lengths[tokens])
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
@@ -101,7 +107,7 @@ def splice(chunks: list[tuple[int, int, list[tuple[int, int]], list[tuple[int, i
 _BOUND = "array<struct<p:bigint,n:bigint>>"
 
 
-def _long(docs: DataFrame, chunk: int, overlap: int, path: str) -> DataFrame:
+def _long(docs: DataFrame, chunk: int, overlap: int, held: Broadcast) -> DataFrame:
     """(doc_id, digest, n_tokens, n_chunks, copies); n_tokens is null where chunks don't align."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +126,7 @@ def _long(docs: DataFrame, chunk: int, overlap: int, path: str) -> DataFrame:
         for i, s, t, k in zip(b.column("number").to_pylist(), b.column("start").to_pylist(), b.column("text").to_pylist(), b.column("n_chunks").to_pylist()):
             first = s + 2 * overlap if i else s
             last = s + len(t) - 2 * overlap if i < k - 1 else s + len(t)
-            n, found = boundaries(t, s, first, last, path)
+            n, found = boundaries(t, s, first, last, held.value)
             tokens.append(n)
             left.append([{"p": p, "n": n} for p, n in found if p < first])
             right.append([{"p": p, "n": n} for p, n in found if p > last])
@@ -152,16 +158,17 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, ov
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     is_long = F.length("text") > chunk
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def whole(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = encoding(path)[0]
+        enc = encoding(held.value)[0]
         n = [len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array([1] * len(n), pa.int64()), pa.array([0] * len(n), pa.int32())], names=["doc_id", "n_tokens", "n_chunks", "widened"])
 
     out = own.where(~is_long).mapInArrow(per_slice(whole), "doc_id bigint, n_tokens bigint, n_chunks bigint, widened int")
     todo, k = own.where(is_long).withColumn("digest", F.md5("text")), 0
     while True:
-        now = cut(_long(todo, chunk, overlap, path))
+        now = cut(_long(todo, chunk, overlap, held))
         done = now.where("n_tokens IS NOT NULL").withColumn("again", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
         out = out.unionByName(done.select("doc_id", "n_tokens", "n_chunks", F.lit(k).cast("int").alias("widened")))
         failed = now.where("n_tokens IS NULL").select(F.col("doc_id").alias("d"), F.col("digest").alias("g"))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from glyphgrid.llm import tokencount
 from tests.llm.conftest import words
 
-ENC = tokencount.encoding()[0]
+ENC = tokencount.encoding(tokencount.vocabulary())[0]
 
 
 def chunked(text, chunk, overlap):
@@ -15,7 +15,7 @@ def chunked(text, chunk, overlap):
     out = []
     for i, (s, e) in enumerate(parts):
         first, last = (s + 2 * overlap if i else s), (e - 2 * overlap if i < len(parts) - 1 else e)
-        n, found = tokencount.boundaries(text[s:e], s, first, last)
+        n, found = tokencount.boundaries(text[s:e], s, first, last, tokencount.vocabulary())
         out.append((i, n, [x for x in found if x[0] < first], [x for x in found if x[0] > last]))
     return tokencount.splice(out)
 
@@ -53,4 +53,4 @@ def test_widening_ends_with_one_chunk():
 
 def test_missing_vocabulary_is_an_error():
     with pytest.raises(OSError):
-        tokencount.encoding("/nowhere")
+        tokencount.vocabulary("/nowhere")
