@@ -3,7 +3,7 @@
     docs      doc_key, the stored fields
     vectors   doc_key, field, n_tokens, terms, tfs  a row for each field a document has
     lengths   doc_key, field, n_tokens              the same without terms
-    postings  field, term, doc_key, tf, len_code    clustered by field and term
+    postings  field, term, doc_key, tf, len_code    clustered by term and field
 
 A document's terms are counted where it is analysed, so no shuffle groups them.
 """

@@ -33,10 +33,10 @@ def keep(index: Index, folder: str) -> Index:
     index.vectors.write.parquet(f"{folder}/vectors")
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     found = read("vectors")
-    postings_of(found).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key").write.parquet(f"{folder}/postings")
+    postings_of(found).repartitionByRange("term", "field", "doc_key").sortWithinPartitions("term", "field", "doc_key").write.parquet(f"{folder}/postings")
     out = Index(read("docs"), lengths_of(found), read("postings"), index.mapping, index.settings, found)
     out.field_stats.write.parquet(f"{folder}/field_stats")
-    out.term_stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{folder}/term_stats")
+    out.term_stats.sortWithinPartitions("term", "field").write.parquet(f"{folder}/term_stats")
     out.__dict__["field_stats"] = read("field_stats")
     out.__dict__["term_stats"] = read("term_stats")
     return out

@@ -205,13 +205,13 @@ class Store:
         write(own(vectors), "vectors")
         write(own(docs), "docs")
         found = self.spark.read.parquet(self._path(segment, "vectors"))
-        # clustered, so that a term's rows lie in few row groups
-        write(own(postings(found)).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key"), "postings")
+        # clustered, so that a term's rows lie in few row groups; by doc_key too, so that a frequent term isn't one task's
+        write(own(postings(found)).repartitionByRange("term", "field", "doc_key").sortWithinPartitions("term", "field", "doc_key"), "postings")
         if stats is None:
             kept = self.spark.read.parquet(self._path(segment, "postings"))
             stats = found.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")), kept.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
         write(own(stats[0]).coalesce(1), "field_stats")
-        write(own(stats[1]).sortWithinPartitions("field", "term"), "term_stats")
+        write(own(stats[1]).sortWithinPartitions("term", "field"), "term_stats")
         return segment, self.spark.read.parquet(self._path(segment, "docs")).count()
 
     def append(self, index: Index, replaces: bool = True) -> int:
