@@ -15,7 +15,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-PIECE = 1 << 20
+PIECE = 1 << 18
 _POW: list[np.ndarray] = []
 
 _BYTES = np.arange(256)
