@@ -9,17 +9,18 @@ the graph.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrid.llm.common import cut
+from glyphgrid.llm.common import cut, kept, parts
 
 DAMPING, ROUNDS, MAX_DISTRUST, MIN_TRUST = 0.85, 20, 0.05, 0.0
-#: Outgoing steps of a host are spread over so many parts, so that a hub's don't meet in one task.
-SALTS = 16
+#: A host's outgoing steps beyond so many are spread over parts of that size, so that a hub's don't meet in one task.
+HUB = 100_000
 TLDS = ("com", "net", "org")
 
 
@@ -66,33 +67,37 @@ def seeded(names: DataFrame, seeds: DataFrame) -> DataFrame:
     return names.select("host", F.explode(domains).alias("domain")).join(own, "domain").select("side", "host").distinct()
 
 
-def rank(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def rank(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, named: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(host, trust, distrust) for the hosts of hosts (host) and edges (src, dst, n) that any seed reaches.
 
-    What each round passes on is summed over all rounds, so a round joins only
-    the hosts that the walk has reached with the steps from them; it ends early
-    where nothing is passed on.  Without seeds there are no rows.  Repeated
-    edges add up; null hosts have no part.
+    What each round passes on is written once and summed over all rounds, so a
+    round joins only the hosts that the walk has reached with the steps from them;
+    it ends early where nothing is passed on.  Without seeds there are no rows.
+    Repeated edges add up; null hosts have no part.  Hosts may be of any type where
+    named, in place of seeded(), finds those of the seeds.
     """
+    spark = edges.sparkSession
     links = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     both = links.select(F.lit(0).alias("side"), "src", "dst", "n").unionByName(links.select(F.lit(1).alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    both = both.groupBy("side", "src", "dst").agg(F.sum("n").alias("n"))
-    out = both.groupBy("side", "src").agg(F.sum("n").alias("total"))
-    step = cut(both.join(out, ["side", "src"]).select("side", "src", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).alias("salt"), "dst", (F.col("n") / F.col("total") * damping).alias("share")))
-    names = hosts.select("host").union(links.select("src")).union(links.select("dst")).where("host IS NOT NULL").distinct()
-    now = cut(seeded(names, seeds).withColumn("r", F.lit(1.0)))
-    passed, since = [now], 0
-    if not step.isEmpty():
-        salts = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])).alias("salt")
-        for _ in range(rounds):
-            sent = now.select("side", F.col("host").alias("src"), "r", salts).join(step, ["side", "src", "salt"])
-            now = sent.groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("share")).alias("r"))
-            since += 1
-            if since == 2:  # the plan stays short, and a lost executor costs two rounds
-                now, since = cut(now), 0
-                if now.isEmpty():
-                    break
-            passed.append(now)
+    both = kept(both.groupBy("side", "src", "dst").agg(F.sum("n").alias("n")))
+    out = kept(both.groupBy("side", "src").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("links")))
+    # few hosts have so many links
+    hubs = F.broadcast(out.where(F.col("links") > HUB).select("side", "src", F.ceil(F.col("links") / HUB).alias("salts")))
+    salted = lambda df: df.join(hubs, ["side", "src"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    step = salted(both.join(out, ["side", "src"])).select("side", "src", F.pmod(F.xxhash64("dst"), "salts").alias("salt"), "dst", (F.col("n") / F.col("total") * damping).alias("share"))
+    # sorted and placed once, so that a round moves only what hosts have and pass on
+    step = step.repartition(parts(spark), "side", "src", "salt").sortWithinPartitions("side", "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    names = hosts.select("host").union(out.select("src")).where("host IS NOT NULL").distinct()
+    now = kept((named or seeded)(names, seeds).withColumn("r", F.lit(1.0)))
+    passed = [now]
+    for _ in range(rounds if not out.isEmpty() else 0):
+        at = salted(now.withColumnRenamed("host", "src")).select("side", "src", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+        sent = step.join(at.hint("merge"), ["side", "src", "salt"])
+        now = kept(sent.groupBy("side", F.col("dst").alias("host")).agg(F.sum(F.col("r") * F.col("share")).alias("r")))
+        if now.isEmpty():
+            break
+        passed.append(now)
+    step.unpersist()
     total = reduce(DataFrame.unionByName, passed)
     score = lambda side: F.round(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("r"))), F.lit(0.0)), 9)
     return total.groupBy("host").agg(score(0).alias("trust"), score(1).alias("distrust"))
@@ -123,10 +128,22 @@ def filter_pages(pages: DataFrame, seeds: DataFrame | None = None, max_distrust:
 
 def trade_graph(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hosts, edges) of a shop's site for each customer and supplier: a customer links to the suppliers of its orders, these to customers by key."""
-    who = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"), F.lit(".example.com"))
-    bought = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).select(who("c", "o_custkey").alias("c"), who("s", "l_suppkey").alias("s"), (F.col("l_linenumber") == 1).alias("back"))
-    out = bought.select(F.col("c").alias("src"), F.col("s").alias("dst")).unionByName(bought.where("back").select(F.col("s").alias("src"), F.col("c").alias("dst")))
-    return customer.select(who("c", "c_custkey").alias("host")), out.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    hosts, edges = _trade_ids(customer, orders, lineitem)
+    return hosts.select(_site("host").alias("host")), edges.select(_site("src").alias("src"), _site("dst").alias("dst"), "n")
+
+
+def _site(of: str) -> Column:
+    """The host of a number of _trade_ids()."""
+    return F.concat(F.when(F.pmod(F.col(of), F.lit(2)) == 0, "c").otherwise("s"), F.shiftright(F.col(of), 1).cast("string"), F.lit(".example.com"))
+
+
+def _trade_ids(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """trade_graph() with numbers for hosts: twice the key, and one more for a supplier."""
+    c, s = (lambda k: (F.col(k).cast("bigint") * 2)), (lambda k: (F.col(k).cast("bigint") * 2 + 1))
+    bought = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).groupBy(c("o_custkey").alias("c"), s("l_suppkey").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_linenumber") == 1).alias("back"))
+    bought = kept(bought)
+    out = bought.select(F.col("c").alias("src"), F.col("s").alias("dst"), "n").unionByName(bought.where("back > 0").select(F.col("s").alias("src"), F.col("c").alias("dst"), F.col("back").alias("n")))
+    return customer.select(c("c_custkey").alias("host")), out
 
 
 #: Seeds of the trade graph: few hosts on either side, so that nearly all scores come by propagation.
@@ -135,9 +152,14 @@ TRADE_SEEDS = (("c1.example.com", "s2.example.com"), ("c7.example.com", "s5.exam
 
 def trade_ranks(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust, keep) of every host of trade_graph() that a seed reaches."""
-    hosts, edges = trade_graph(customer, orders, lineitem)
-    ranked = rank(hosts, cut(edges), seed_table(customer.sparkSession, *TRADE_SEEDS), rounds, damping)
-    return ranked.select("host", "trust", "distrust", keeps(MAX_DISTRUST, MIN_TRUST).alias("keep"))
+    hosts, edges = _trade_ids(customer, orders, lineitem)
+
+    def named(names: DataFrame, seeds: DataFrame) -> DataFrame:
+        sites = names.select("host", _site("host").alias("site"))
+        return seeded(sites.select(F.col("site").alias("host")), seeds).withColumnRenamed("host", "site").join(sites, "site").select("side", "host")
+
+    ranked = rank(hosts, edges, seed_table(customer.sparkSession, *TRADE_SEEDS), rounds, damping, named)
+    return ranked.select(_site("host").alias("host"), "trust", "distrust", keeps(MAX_DISTRUST, MIN_TRUST).alias("keep"))
 
 
 def _rank_ctes(trusted: Sequence[str], blocked: Sequence[str], rounds: int, damping: float) -> list[str]:

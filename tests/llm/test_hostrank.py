@@ -137,3 +137,14 @@ def test_the_plan_does_not_double_with_rounds(spark, pages):
     edges, hosts = hostrank.host_edges(pages), pages.select(hostrank.host("url").alias("host"))
     size = lambda n: hostrank.rank(hosts, edges, seeds(spark), n)._jdf.queryExecution().optimizedPlan().toString().count("Join")
     assert size(8) <= size(2) + 6
+
+
+def test_hubs_in_parts_give_the_same(spark, pages, monkeypatch):
+    """A host's steps in many parts, met by as many copies of what it has; a round's plan reads files, not earlier rounds."""
+    edges, hosts = hostrank.host_edges(pages), pages.select(hostrank.host("url").alias("host"))
+    monkeypatch.setattr(hostrank, "HUB", 1)
+    found = hostrank.rank(hosts, edges, seeds(spark), 6)
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
+    assert "/kept-" in found.inputFiles()[0] and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    assert got == {r["host"]: (r["trust"], r["distrust"]) for r in hostrank.rank(hosts, edges, seeds(spark), 6).collect()}
