@@ -68,3 +68,40 @@ def test_keys_that_come_once_are_not_shuffled(spark, tmp_path):
 
 def test_words_of_all_planes():
     assert words("a\U0001d400b 한국 x") == ["a\U0001d400b", "한국", "x"] and words("é \U0001f600 ü") == ["é", "ü"] and words("a­b é") == ["a­b", "é"]
+
+
+def test_blocks_and_packed_rows_hold_the_same_in_fewer_rows(spark, tmp_path, monkeypatch):
+    """Numbers whose terms are any bytes, keys that can't be joined, and terms of more postings than a block has."""
+    monkeypatch.setattr(indexing, "BLOCK", 7)
+    mapping = parse_mapping({"properties": {"a": {"type": "string"}, "n": {"type": "integer"}, "e": {"type": "string"}}})
+    rows = [(k + str(i), f"the w{i % 5} the", i % 3 * 2_105_376 - 31, None if i % 2 else "") for k in ("", "\x1f,", "é\x1f") for i in range(60)]
+    for n, some in enumerate([rows[:60], rows, rows[:0]]):
+        made = build(spark.createDataFrame(some, "k string, a string, n bigint, e string"), mapping, "k")
+        kept = keep(made, f"{tmp_path}/{n}")
+        whole = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert whole(kept.vectors) == whole(made.vectors) and whole(indexing.unpack(indexing.pack(made.vectors))) == whole(made.vectors)
+        assert whole(kept.postings) == whole(made.postings) and whole(kept.term_stats) == whole(made.term_stats) and whole(kept.lengths) == whole(made.lengths)
+        sizes = [r["n"] for r in kept.blocks.collect()]
+        assert sum(sizes) == made.postings.count() and len(sizes) < max(sum(sizes) / 3, 1) and max(sizes, default=7) == 7
+
+
+def test_segments_of_single_postings_are_read_and_merged(spark, tmp_path):
+    """A segment as it was written before: tables vectors and postings in place of packed and blocks."""
+    engine = Engine(spark, f"{tmp_path}/w")
+    engine.create_index("m", {"mappings": {"doc": {"properties": {"a": {"type": "string", "store": True}}}}})
+    rows = spark.createDataFrame([(i, f"the w{i}") for i in range(20)], "id bigint, a string")
+    engine.upsert("m", "doc", rows, "id")
+    store = engine.stores["m"]
+    folder = tmp_path / "w" / "m" / store.manifest["segments"][0]["id"]
+    found = indexing.unpack(spark.read.parquet(f"{folder}/packed"))
+    found.write.parquet(f"{folder}/vectors")
+    postings_of(found).write.parquet(f"{folder}/postings")
+    for old in ("packed", "blocks"):
+        (folder / old).rename(tmp_path / old)
+    engine.upsert("m", "doc", rows.where("id < 3").withColumn("a", F.lit("the new")), "id")
+    store.delete(spark.createDataFrame([("4",)], "doc_key string"))
+    for _ in range(2):
+        assert [engine.count("m", {"match": {"a": t}}) for t in ("the", "new", "w1", "w4", "w5")] == [19, 3, 0, 0, 1]
+        own = store.index()
+        assert {bytes(r["term"]): r["df"] for r in own.term_stats.where("field = 'a'").collect()} == dict(Counter(bytes(r["term"]) for r in own.postings.where("field = 'a'").collect()))
+        engine.optimize("m")
