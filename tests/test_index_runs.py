@@ -105,3 +105,12 @@ def test_segments_of_single_postings_are_read_and_merged(spark, tmp_path):
         own = store.index()
         assert {bytes(r["term"]): r["df"] for r in own.term_stats.where("field = 'a'").collect()} == dict(Counter(bytes(r["term"]) for r in own.postings.where("field = 'a'").collect()))
         engine.optimize("m")
+
+
+def test_tables_of_segments_are_compressed_well(spark, tmp_path):
+    """By zstandard: packed rows of few repeated strings take more room by Snappy."""
+    engine = Engine(spark, f"{tmp_path}/w")
+    engine.create_index("m", {"mappings": {"doc": {"properties": {"a": {"type": "string", "store": True}}}}})
+    engine.upsert("m", "doc", spark.createDataFrame([(1, "one two")], "id bigint, a string"), "id")
+    written = [p.name for t in ("packed", "blocks", "docs") for p in (tmp_path / "w" / "m").rglob(f"{t}/*.parquet")]
+    assert len(written) >= 3 and all(n.endswith(".zstd.parquet") for n in written)
