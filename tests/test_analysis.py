@@ -121,3 +121,30 @@ def test_begins_with_covers_the_byte_range(spark):
 @pytest.mark.parametrize("chain,single", [((LOWERCASE,), True), ((TokenFilter("grams", ANY),), False)])
 def test_one_per_position(chain, single):
     assert Analyzer(STD, chain).one_per_position == single
+
+
+def test_words_of_many_texts_at_once_are_those_of_each(monkeypatch):
+    """Every character of the basic plane between letters, digits and underscores, and mixed texts in small groups."""
+    import random
+    from collections import Counter
+
+    from glyphgrid.functions import words as wording
+
+    def check(texts):
+        row, found = wording.split_all(texts)
+        got = [Counter() for _ in texts]
+        for i, w in zip(row.tolist(), found.to_pylist()):
+            got[i][w] += 1
+        assert got == [Counter(wording.words(t)) for t in texts]
+
+    plane = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    for before, after in ("ab", "12", "__"):
+        check([before + c + after for c in plane])
+    rng, letters = random.Random(2), "aZ09__ .,;:'\n-éßɏªº·’‧．²א漢́\U0001f600\U0001d400"
+    monkeypatch.setattr(wording, "_AT_ONCE", 40)
+    for _ in range(300):
+        check(["".join(rng.choices(letters[: rng.choice([14, 22, 30])], k=rng.randrange(30))) for _ in range(rng.randrange(9))])
+    # no string is made for a word of these
+    monkeypatch.setattr(wording, "words", None)
+    row, found = wording.split_all(["The l'été", "", "_", "__x 3.5"])
+    assert sorted(zip(row.tolist(), found.to_pylist())) == [(0, "The"), (0, "l'été"), (3, "3.5"), (3, "__x")]
