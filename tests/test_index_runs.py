@@ -114,3 +114,27 @@ def test_tables_of_segments_are_compressed_well(spark, tmp_path):
     engine.upsert("m", "doc", spark.createDataFrame([(1, "one two")], "id bigint, a string"), "id")
     written = [p.name for t in ("packed", "blocks", "docs") for p in (tmp_path / "w" / "m").rglob(f"{t}/*.parquet")]
     assert len(written) >= 3 and all(n.endswith(".zstd.parquet") for n in written)
+
+
+def test_documents_by_term_are_told_by_blocks(spark, tmp_path, monkeypatch):
+    """A segment has no table of them, whose making shuffled every term of every run; those of blocks add up, also after deletes."""
+    monkeypatch.setattr(indexing, "BLOCK", 3)
+    engine = Engine(spark, f"{tmp_path}/w")
+    engine.create_index("m", {"mappings": {"doc": {"properties": {"a": {"type": "string", "store": True}}}}})
+    engine.upsert("m", "doc", spark.createDataFrame([(i, f"the w{i % 4}") for i in range(20)], "id bigint, a string"), "id")
+    store = engine.stores["m"]
+    store.delete(spark.createDataFrame([("4",), ("5",)], "doc_key string"))
+    assert {p.name for p in (tmp_path / "w" / "m" / store.manifest["segments"][0]["id"]).iterdir()} == {"packed", "docs", "blocks", "field_stats"}
+    got = {bytes(r["term"]).decode(): r["df"] for r in store.index().term_stats.where("field = 'a'").collect()}
+    assert got == {"the": 18, "w0": 4, "w1": 4, "w2": 5, "w3": 5}
+
+
+def test_groups_are_sorted_with_their_places():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        for group in (rng.integers(0, 50, n).astype(np.int32), rng.integers(0, 2**61, n), rng.integers(0, 9, n) * 2**50):
+            got, order = indexing._in_order(group)
+            want = np.argsort(group, kind="stable")
+            assert (order == want).all() and (got == group[want]).all()
