@@ -138,3 +138,17 @@ def test_groups_are_sorted_with_their_places():
             got, order = indexing._in_order(group)
             want = np.argsort(group, kind="stable")
             assert (order == want).all() and (got == group[want]).all()
+
+
+def test_more_documents_are_analysed_in_more_tasks(spark, tmp_path):
+    """Tasks of one size instead of one for each core, whose longest grew with the input."""
+    small = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        build(docs(spark, 3000), MAPPING, "id").packed.write.parquet(f"{tmp_path}/p")
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert len(list((tmp_path / "p").glob("*.parquet"))) > spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{tmp_path}/p").where("field = '_all'").count() == 3000
